@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from quire.llm.language_id import op6_language_id
 from quire.llm.packing import op4_best_fit_packing
+from quire.llm.quality_classifier import op1_quality_classifier
+from quire.llm.simhash import op8_simhash_near_dedup
+from quire.llm.substring_dedup import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_substring_dedup,
+        op4_best_fit_packing,
+        op6_language_id,
+        op8_simhash_near_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
