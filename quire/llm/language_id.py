@@ -28,6 +28,8 @@ UNDETERMINED = "und"
 BITS = 14
 #: Rows of the training sample, at most.
 MOST = 4000
+#: Under it a document's language counts as not identified.
+LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -184,6 +186,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` (any columns, text among them) whose language is determined with ``least_score`` or more."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(x) for x in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

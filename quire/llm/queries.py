@@ -9,8 +9,8 @@ from quire.llm.media import op3_media_columns
 from quire.llm.packing import op4_best_fit_packing
 from quire.llm.quality_classifier import op1_quality_classifier
 from quire.llm.simhash import op8_simhash_near_dedup
-from quire.llm.substring_dedup import op2_substring_dedup
-from quire.llm.url_filters import op9_url_filters
+from quire.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from quire.llm.url_filters import OP9_SQL, op9_url_filters
 from quire.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op10_warc": OP10_SQL}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op9_url_filters": OP9_SQL, "op10_warc": OP10_SQL}

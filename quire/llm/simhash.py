@@ -51,14 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+    """(doc_id, version, fp): ``version`` tells apart rows that share a doc_id, ``fp`` has the bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(text, shingle) for text in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(text, shingle) for text in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, version long, fp long")
 
 
 class Components:
@@ -191,16 +192,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return links.groupBy(F.col("hi").alias("fp")).agg(F.min("lo").alias("label")).unionByName(links.select(F.col("lo").alias("fp"), F.col("lo").alias("label")).distinct())
 
 
+def _component_of_nodes(fps: DataFrame, budget: int) -> DataFrame:
+    """(fp, copies, first): per distinct fingerprint its rows, and the first row of its component."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
+    nodes = materialize(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    labels = components(near_links(nodes, budget))
+    joined = nodes.join(labels, "fp")
+    named = joined.groupBy("label").agg(F.min("first").alias("of_all"))
+    linked = joined.select("fp", "label").join(named, "label").select("fp", "of_all")
+    return nodes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("of_all", "first").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(near_links(nodes, budget))
-    joined = nodes.join(labels, "fp")
-    named = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = joined.select("fp", "label").join(named, "label").select("fp", "component_id")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _component_of_nodes(fps, budget)
+    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The row of the smallest doc_id of each component of ``docs`` (any columns, doc_id and text among them)."""
+    first = _component_of_nodes(materialize(fingerprints(docs, shingle), "fingerprints"), budget)
+    unnamed = F.lit(-(2**63))
+    chosen = first.select(F.coalesce("first.doc_id", unnamed).alias("__id"), F.col("first.version").alias("__version")).distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), unnamed), "__version": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(chosen, ["__id", "__version"], "left_semi").dropDuplicates(["__id", "__version"]).select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,13 +195,11 @@ def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[heads].tolist(), (starts[np.append(heads[1:], len(starts)) - 1] + width).tolist(), strict=True))
 
 
-def _version(text: str) -> F.Column:
-    """Tells apart rows that share a doc_id; rows with the same text too are treated alike."""
-    return F.xxhash64(F.col(text))
-
-
 def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
-    """(doc_id, version, at): per document and bucket, the starts of windows that also start in a smaller doc_id."""
+    """(doc_id, version, at): per document and bucket, the starts of windows that also start in a smaller doc_id.
+
+    ``version`` is the text's hash: it tells apart rows that share a doc_id; rows of the same text too are treated alike.
+    """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,34 +226,91 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1)
         if blobs:
             yield _settle(blobs, check_bytes)
 
-    sent = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _version("text").alias("version"), F.col("text").cast("binary")).mapInArrow(cut, "bucket int, docs binary, hashes binary, checks binary, places binary")
+    sent = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary")).mapInArrow(cut, "bucket int, docs binary, hashes binary, checks binary, places binary")
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, version long, at binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with ``with_text`` the kept words as ``kept``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    starts = repeated_windows(rows, width, check_bytes).groupBy("doc_id", "version").agg(F.collect_list("at").alias("at"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.string())] * with_text])
+def _kept(text: bytes | None, at: list[bytes] | None, width: int) -> tuple[list[bytes], int]:
+    """(words that stay, how many go) of a text with repeated windows at ``at``."""
+    own = words(text)
+    if not at:
+        return own, 0
+    kept, end = [], 0
+    for a, b in removal_intervals(np.unique(np.concatenate([unpack_ascending(x) for x in at])), width):
+        kept += own[end:a]
+        end = b
+    kept += own[end:]
+    return kept, len(own) - len(kept)
+
+
+def _with_starts(rows: DataFrame, width: int, check_bytes: int) -> DataFrame:
+    """Adds ``__at``, the starts of repeated windows, to ``rows`` (any columns, doc_id and text among them)."""
+    narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    starts = repeated_windows(narrow, width, check_bytes).groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_list("at").alias("__at"))
+    keyed = rows.withColumns({"__id": F.col("doc_id").cast("long"), "__version": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(starts, ["__id", "__version"], "left").drop("__id", "__version")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 of the kept words joined by spaces."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = words(text)
-                gaps = removal_intervals(np.unique(np.concatenate([unpack_ascending(x) for x in at])), width) if at else []
-                kept, end = [], 0
-                for a, b in gaps:
-                    kept += own[end:a]
-                    end = b
-                kept = b" ".join(kept + own[end:]) if gaps else b" ".join(own)
-                for column, x in zip(out, (doc_id, len(own), sum(b - a for a, b in gaps), hashlib.sha256(kept).hexdigest(), kept), strict=False):
-                    column.append(x.decode() if column is out[-1] and with_text else x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-
-    met = rows.withColumn("version", _version("text")).join(starts, ["doc_id", "version"], "left").select("doc_id", F.col("text").cast("binary"), "at")
-    return met.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+            n_words, n_removed, digests = [], [], []
+            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kept, removed = _kept(text, at, width)
+                n_words.append(len(kept) + removed)
+                n_removed.append(removed)
+                digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    met = _with_starts(docs.select("doc_id", "text"), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "__at")
+    return met.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def keep_first_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+    """``docs`` (any columns, doc_id and text among them) with repeated windows taken out of ``text``.
+
+    A text that loses words becomes its kept words joined by one space, ``n_chars`` (if there is one) their length; a
+    document that loses all its words goes.  Other texts stay as they are.
+    """
+    met = _with_starts(docs, width, check_bytes)
+    schema, text = docs.schema, docs.columns.index("text")
+    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, at = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
+            texts, sizes = columns[text].to_pylist(), columns[n_chars].to_pylist() if n_chars is not None else []
+            stays = np.ones(len(at), bool)
+            for i in (i for i, x in enumerate(at) if x):
+                kept, _ = _kept(texts[i].encode(), at[i], width)
+                texts[i], stays[i] = b" ".join(kept).decode(), bool(kept)
+                if sizes:
+                    sizes[i] = len(texts[i])
+            columns[text] = pa.array(texts, columns[text].type)
+            if sizes:
+                columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(stays))
+
+    return met.select(*docs.columns, "__at").mapInArrow(cut, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM cut)
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS i FROM hits
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM cut LEFT JOIN kept USING (doc_id)
+"""
