@@ -88,7 +88,7 @@ def _concepts(source: str = "candidates", name: str = "concepts") -> str:
 ), ranked AS (
   SELECT *, {_slug("title")} AS slug FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lower(title), key) AS place FROM shown) WHERE place <= {MAX_CONCEPTS}
 ), listed AS (
-  SELECT doc_id, slug, section_id, min(place * 1000000 + ord) AS at FROM ranked JOIN (SELECT DISTINCT doc_id, key, section_id, ord FROM keyed) USING (doc_id, key) GROUP BY doc_id, slug, section_id
+  SELECT doc_id, slug, section_id, min(place * 1000000 + ord) AS spot FROM ranked JOIN (SELECT DISTINCT doc_id, key, section_id, ord FROM keyed) USING (doc_id, key) GROUP BY doc_id, slug, section_id
 ), {name} AS (
   SELECT doc_id, CAST(min(place) AS INTEGER) AS position, slug, arg_min(title, place) AS title FROM ranked GROUP BY doc_id, slug
 )"""
@@ -168,9 +168,9 @@ ORACLE_SQL = {
     "scan_tf_search": f"WITH {SECTIONS}, {TOKENS} {_tf(['onti', 'ering', 'onti'])}",
     "search_union_indexed_scan": f"""WITH {SECTIONS}, {TOKENS}, known AS (SELECT * FROM tokens WHERE regexp_matches(doc_id, '^src[0-9]-')), other AS (SELECT * FROM tokens WHERE NOT regexp_matches(doc_id, '^src[0-9]-'))
 SELECT * FROM (SELECT * FROM ({_bm25(SCOPE_TERMS, "true", 25, "known")}) UNION ALL SELECT * FROM ({_tf(SCOPE_TERMS, "other")} ORDER BY score DESC, doc_id, section_id LIMIT 25)) ORDER BY score DESC, doc_id, section_id LIMIT 25""",
-    "search_snippet": f"""WITH {SECTIONS}, at AS (SELECT section_id, text, list_min(list_filter([instr(lower(text), 'onti'), instr(lower(text), 'ering')], lambda p: p > 0)) AS p FROM v_sections)
+    "search_snippet": f"""WITH {SECTIONS}, spots AS (SELECT section_id, text, list_min(list_filter([instr(lower(text), 'onti'), instr(lower(text), 'ering')], lambda p: p > 0)) AS p FROM v_sections)
 SELECT section_id, CASE WHEN p IS NULL THEN text[1:160] || CASE WHEN len(text) > 160 THEN '…' ELSE '' END
-  ELSE CASE WHEN p > 54 THEN '…' ELSE '' END || text[greatest(p - 54, 0) + 1:greatest(p - 54, 0) + 160] || CASE WHEN greatest(p - 54, 0) + 160 < len(text) THEN '…' ELSE '' END END AS snippet FROM at""",
+  ELSE CASE WHEN p > 54 THEN '…' ELSE '' END || text[greatest(p - 54, 0) + 1:greatest(p - 54, 0) + 160] || CASE WHEN greatest(p - 54, 0) + 160 < len(text) THEN '…' ELSE '' END END AS snippet FROM spots""",
     "tokenize_terms": f"WITH {SECTIONS}, {TOKENS} SELECT section_id, term, count(*) AS tf FROM (SELECT section_id, unnest(t) AS term FROM tokens) GROUP BY section_id, term",
     "folded_terms": f"WITH {SECTIONS} SELECT section_id, array_to_string({_terms('title')}, ' ') AS terms FROM v_sections",
     "slugify_titles": f"WITH {SECTIONS} SELECT section_id, {_slug('title')} AS slug FROM v_sections",
@@ -216,7 +216,7 @@ SELECT t.doc_id, t.id, r.nr FROM v_turns t JOIN ranged r ON r.doc_id = t.doc_id
     "token_counts": f"WITH {SECTIONS} SELECT section_id, CAST(len(regexp_extract_all(text, '[^{_SPACE[1:-1]}]+')) AS BIGINT) AS tokens FROM v_sections",
     "concept_candidates": f"WITH {SECTIONS}, {CANDIDATES} SELECT section_id, CAST(rank AS INTEGER) AS rank, candidate FROM candidates",
     "title_case_phrases": f"WITH {SECTIONS}, {CANDIDATES} SELECT section_id, nr, phrase FROM phrases",
-    "concepts_top50": f"WITH {SECTIONS}, {CANDIDATES}, {_concepts()} SELECT doc_id, position, slug, title, string_agg(section_id, ',' ORDER BY at) AS section_ids FROM concepts JOIN listed USING (doc_id, slug) GROUP BY doc_id, position, slug, title",
+    "concepts_top50": f"WITH {SECTIONS}, {CANDIDATES}, {_concepts()} SELECT doc_id, position, slug, title, string_agg(section_id, ',' ORDER BY spot) AS section_ids FROM concepts JOIN listed USING (doc_id, slug) GROUP BY doc_id, position, slug, title",
     "concept_mentions_merged": f"WITH {MERGED} SELECT * FROM mentions",
     "concept_nodes": f"WITH {MERGED} SELECT * FROM nodes",
     "concept_mentions_of": f"WITH {MERGED} SELECT slug, doc_id, section_id, section_title, gloss, source, summary FROM detailed WHERE slug LIKE 'the-%'",
