@@ -7,11 +7,12 @@ others are hits.  Hits of a document are merged into maximal removal intervals.
 
 What moves: before the shuffle, a scan task settles equal windows among the documents it holds, so of a window that
 stands in thousands of documents it sends one.  The rest leaves as blobs, one per chunk of words and bucket of
-hashes: 9 bytes of hash and about one of position a window, doc_ids once per blob.  A bucket takes its share of all
-hashes, so there are as many as shuffle partitions, and a task sorts one bucket at a time.  Texts move once, to meet
-their hits.
+hashes: 8 bytes of hash and about one of position a window, doc_ids once per blob.  A bucket takes its share of all
+hashes, so there are as many as shuffle partitions, and a task sorts one bucket at a time.  Its hits leave as blobs
+too, one per group of documents.  Texts move once, to meet their hits.
 
-Two different windows agree with odds of 1 in 2^72 (64 + 8 ``check`` bits); give more ``check_bytes`` beyond 10^11 windows.
+Two different windows agree with odds of 1 in 2^64 (56 bits of hash, 8 of check) times the number of buckets; give
+more ``check_bytes`` beyond 10^10 windows.
 
 Defined results: null text has no words and a kept text of ''; a document of fewer words than ``width`` is kept whole;
 a row with a null doc_id is kept whole and removes nothing, as no order holds for it; rows that share a doc_id never
@@ -36,7 +37,7 @@ WIDTH = 50
 #: Words that a scan task hashes at once.
 CHUNK_WORDS = 2_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary())])
-_HIT = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("at", pa.binary())])
+_HITS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 _BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -145,30 +146,73 @@ class _Chunk:
                 # doc by doc, then by place: one ascending row of numbers
                 spread = np.concatenate([[0], np.cumsum(lengths[docs])])
                 table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
-                for column, x in zip(out, (b, table_.astype("<i8").tobytes(), hashes[own].tobytes(), check[own].tobytes(), pack_ascending(place + spread[nth])), strict=True):
+                for column, x in zip(out, (b, table_.astype("<i8").tobytes(), _low_bytes(hashes[own]), check[own].tobytes(), pack_ascending(place + spread[nth])), strict=True):
                     column.append(x)
         # Hits settled here pass through the shuffle beside the blobs, spread over the buckets.
-        heads = np.flatnonzero(np.diff(owner[local], prepend=-1))
-        for d, own in zip(owner[local][heads], np.split(local, heads[1:]), strict=True):
-            places = at[own] - starts[d]
-            for column, x in zip(out, (int(doc_ids[d] % self.buckets), np.array([doc_ids[d], versions[d], 0], "<i8").tobytes(), b"", b"", pack_ascending(places)), strict=True):
+        for nth, own in enumerate(np.array_split(local, min(self.buckets, len(local) // 100_000 + 1)) if len(local) else []):
+            docs, of = np.unique(owner[own], return_inverse=True)
+            spread = np.concatenate([[0], np.cumsum(lengths[docs])])
+            table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
+            for column, x in zip(out, (int(doc_ids[0] + nth) % self.buckets, table_.astype("<i8").tobytes(), b"", b"", pack_ascending(at[own] - starts[docs][of] + spread[of])), strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOB, strict=True)], schema=_BLOB)
 
 
-def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A row per document: the ascending starts of its removed windows."""
-    order = np.lexsort((place, owner))
-    owner, place = owner[order], place[order]
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(owner))[: len(heads)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids[owner[heads]]), pa.array(versions[owner[heads]]), pa.array([pack_ascending(place[a:b]) for a, b in zip(heads, ends, strict=True)], pa.binary())], schema=_HIT
-    )
+_HASH_BYTES = 7
+
+
+def _low_bytes(hashes: np.ndarray) -> bytes:
+    """All but the top byte, which the bucket stands for."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes()
+
 
+def _from_low_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _HASH_BYTES, 8), np.uint8)
+    out[:, :_HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _HASH_BYTES)
+    return out.reshape(-1).view(np.uint64)
 
-def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int) -> pa.RecordBatch:
-    """The hits among one bucket's windows: all but those of the smallest doc_id of each hash."""
+
+def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row per group of documents: each one's doc_id, version and number of hits, and the places of their hits."""
+    part = (doc_ids.astype(np.uint64) * _BASE >> np.uint64(33)).astype(np.int64) % parts
+    order = np.lexsort((place, owner, part[owner]))
+    owner, place = owner[order], place[order]
+    rows: list[list] = [[], [], []]
+    for p, own in _runs(part[owner]):
+        docs, counts = np.array([(o, len(i)) for o, i in _runs(owner[own])]).T
+        # places of all documents in one ascending row: each document's begin after the last one's end
+        last = place[own][np.cumsum(counts) - 1] + 1
+        spread = np.repeat(np.cumsum(last) - last, counts)
+        for column, x in zip(rows, (int(p), np.stack([doc_ids[docs], versions[docs], counts]).astype("<i8").tobytes(), pack_ascending(place[own] + spread)), strict=True):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _HITS, strict=True)], schema=_HITS)
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its places) of each run of equal values."""
+    heads = np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
+    for a, b in zip(heads, np.append(heads[1:], len(x)), strict=False):
+        yield int(x[a]), np.arange(a, b)
+
+
+def _gather(blobs: list[tuple[bytes, bytes]]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """The places of hits by (doc_id, version)."""
+    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    for docs, places in blobs:
+        ids, versions, counts = np.frombuffer(docs, "<i8").reshape(3, -1)
+        x, end, base = unpack_ascending(places), 0, 0
+        for doc_id, version, n in zip(ids.tolist(), versions.tolist(), counts.tolist(), strict=True):
+            own = x[end : end + n] - base
+            out.setdefault((doc_id, version), []).append(own)
+            end, base = end + n, base + int(own[-1]) + 1
+    return out
+
+
+def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, parts: int) -> pa.RecordBatch:
+    """The hits among one bucket's windows: all but those of the smallest doc_id of each hash.
+
+    Blobs without hashes are hits that a scan task has settled already.
+    """
     doc_ids, versions, owners, places, base = [], [], [], [], 0
     for docs, _, _, packed in blobs:
         ids, version, lengths = np.frombuffer(docs, "<i8").reshape(3, -1)
@@ -178,13 +222,16 @@ def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int) ->
         doc_ids.append(ids), versions.append(version), owners.append(nth + base), places.append(x - spread[nth])
         base += len(ids)
     ids, version, owner, place = (np.concatenate(x) for x in (doc_ids, versions, owners, places))
-    hashes = np.concatenate([np.frombuffer(b[1], np.uint64) for b in blobs])
+    hashes = np.concatenate([_from_low_bytes(b[1]) for b in blobs])
     checks = np.concatenate([np.frombuffer(b[2], f"<u{check_bytes}") for b in blobs])
-    order = np.lexsort((ids[owner], checks, hashes))
-    h, c, d = hashes[order], checks[order], ids[owner][order]
-    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-    hit = order[d > np.repeat(d[head], np.diff(np.append(head, len(order))))]
-    return _hits(ids, version, owner[hit], place[hit])
+    settled = np.concatenate([np.full(len(x), not b[1]) for x, b in zip(owners, blobs, strict=True)])
+    open_ = np.flatnonzero(~settled)
+    order = np.lexsort((ids[owner[open_]], checks, hashes))
+    h, c, d = hashes[order], checks[order], ids[owner[open_[order]]]
+    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else order
+    hit = open_[order[d > np.repeat(d[head], np.diff(np.append(head, len(order))))]] if len(h) else order
+    hit = np.concatenate([np.flatnonzero(settled), hit])
+    return _hits(ids, version, owner[hit], place[hit], parts)
 
 
 def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -196,7 +243,7 @@ def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
-    """(doc_id, version, at): per document and bucket, the starts of windows that also start in a smaller doc_id.
+    """(doc_id, version, at): per document, the starts of its windows that also start in a smaller doc_id.
 
     ``version`` is the text's hash: it tells apart rows that share a doc_id; rows of the same text too are treated alike.
     """
@@ -210,33 +257,42 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1)
                     yield from chunk.flush()
         yield from chunk.flush()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = -1, []
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """The rows of one first column at a time, without it."""
+        key, rows = None, []
         for batch in batches:
-            for b, docs_, hashes, checks, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    if blobs:
-                        yield _settle(blobs, check_bytes)
-                    bucket, blobs = b, []
-                if hashes:
-                    blobs.append((docs_, hashes, checks, places))
-                else:
-                    ids, version, _ = np.frombuffer(docs_, "<i8").reshape(3, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(version), pa.array([places], pa.binary())], schema=_HIT)
-        if blobs:
-            yield _settle(blobs, check_bytes)
-
-    sent = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary")).mapInArrow(cut, "bucket int, docs binary, hashes binary, checks binary, places binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, version long, at binary")
-
-
-def _kept(text: bytes | None, at: list[bytes] | None, width: int) -> tuple[list[bytes], int]:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and rows:
+                    yield rows
+                    rows = []
+                key = k
+                rows.append(tuple(row))
+        if rows:
+            yield rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in grouped(batches):
+            yield _settle(blobs, check_bytes, buckets)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in grouped(batches):
+            found = _gather(blobs)
+            places = [pack_ascending(np.unique(np.concatenate(x))) for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(places, pa.binary())], ["doc_id", "version", "at"])
+
+    narrow = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary"))
+    windows = narrow.mapInArrow(cut, "bucket int, docs binary, hashes binary, checks binary, places binary")
+    hits = windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "part int, docs binary, places binary")
+    return hits.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(gather, "doc_id long, version long, at binary")
+
+
+def _kept(text: bytes | None, at: bytes | None, width: int) -> tuple[list[bytes], int]:
     """(words that stay, how many go) of a text with repeated windows at ``at``."""
     own = words(text)
     if not at:
         return own, 0
     kept, end = [], 0
-    for a, b in removal_intervals(np.unique(np.concatenate([unpack_ascending(x) for x in at])), width):
+    for a, b in removal_intervals(unpack_ascending(at), width):
         kept += own[end:a]
         end = b
     kept += own[end:]
@@ -246,7 +302,7 @@ def _kept(text: bytes | None, at: list[bytes] | None, width: int) -> tuple[list[
 def _with_starts(rows: DataFrame, width: int, check_bytes: int) -> DataFrame:
     """Adds ``__at``, the starts of repeated windows, to ``rows`` (any columns, doc_id and text among them)."""
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    starts = repeated_windows(narrow, width, check_bytes).groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_list("at").alias("__at"))
+    starts = repeated_windows(narrow, width, check_bytes).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("at").alias("__at"))
     keyed = rows.withColumns({"__id": F.col("doc_id").cast("long"), "__version": F.xxhash64(F.col("text").cast("string"))})
     return keyed.join(starts, ["__id", "__version"], "left").drop("__id", "__version")
 
