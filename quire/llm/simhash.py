@@ -206,8 +206,12 @@ def _component_of_nodes(fps: DataFrame, budget: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    of = _component_of_nodes(fps, budget)
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    of = materialize(_component_of_nodes(fps, budget).select("fp", "copies", F.col("first.doc_id").alias("component_id")), "components")
+    # A fingerprint of a thousandth of all rows or more would be a hot key: the thousand there can be at most are sent to every task.
+    rows = of.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(of.where(F.col("copies") * 1000 >= rows).drop("copies"))
+    named = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(of.where(F.col("copies") * 1000 < rows).drop("copies"), "fp"))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
