@@ -36,6 +36,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` hash partitions an int that ``repartition(n, key)`` sends there, so that n equal shares stay equal."""
+    key = F.col("id").cast("int")
+    found = dict(spark.range(24 * n + 64).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("key")).collect())  # n rows at most
+    return [found.get(p, p) for p in range(n)]
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has a row per ``key`` at most; keys aren't null.
+
+    Keys that a thousandth of ``left`` or more share (a thousand keys at most) meet their rows of ``right`` by
+    broadcast; only the others are dealt out by key.  ``counts`` (key, n) spares counting the keys of ``left``.
+    """
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") * 1000 >= max(rows, 1)).select(key).collect()]
+    is_hot = F.col(key).isin(hot)
+    there = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
+    return there.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows that no model may learn from: crc32 of the id's text leaves 1 when divided by 3 (null id: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

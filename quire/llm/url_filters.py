@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, table
+from quire.llm.common import join_skewed, materialize, table
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict."""
     ruled = with_rule(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), rules)
     blocked = host_trust(ruled, damping, rounds).where(F.col("distrust") > threshold * F.col("trust") + 1e-9).select("host", F.lit("block").alias("host_verdict"))
-    judged = ruled.select("page_id", "host", "path", "rule", "rule_verdict").join(blocked, "host", "left")
+    judged = join_skewed(ruled.select("page_id", "host", "path", "rule", "rule_verdict"), materialize(blocked, "blocked"), "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
 
 
