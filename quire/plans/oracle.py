@@ -47,11 +47,11 @@ def _bm25(query: list[str], where: str, limit: int, source: str = "tokens") -> s
     """A subquery of the best sections."""
     listed = ", ".join(f"({i}, '{q}')" for i, q in enumerate(query))
     return f"""
-  SELECT doc_id, section_id, title, round(sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM (
+  SELECT doc_id, section_id, title, round(round(sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 12), 6) AS score FROM (
     SELECT t.doc_id, t.section_id, t.title, len(t.t) AS dl, avgdl, ln((n - df + 0.5) / (df + 0.5)) AS idf, CAST(len(list_filter(t.t, lambda x: x = q.term)) AS DOUBLE) AS tf
     FROM {source} t, (VALUES {listed}) q(nr, term), (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {source})
       , LATERAL (SELECT count(*) AS df FROM {source} d WHERE list_contains(d.t, q.term)) WHERE {where}
-  ) WHERE tf > 0 GROUP BY doc_id, section_id, title ORDER BY score DESC, doc_id, section_id LIMIT {limit}"""
+  ) WHERE tf > 0 GROUP BY doc_id, section_id, title ORDER BY round(sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 12) DESC, doc_id, section_id LIMIT {limit}"""
 
 
 def _tf(query: list[str], source: str = "tokens") -> str:

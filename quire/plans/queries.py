@@ -25,11 +25,11 @@ def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_sections(spark, sf_dir), QUERY, 10).select("doc_id", "section_id", "title", "score")
+    return search.bm25(_sections(spark, sf_dir), QUERY, 10).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
 
 
 def fts_bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_sections(spark, sf_dir), SCOPE_QUERY, 20, ["src1-0", "src3-0", "src5-0"]).select("doc_id", "section_id", "title", "score")
+    return search.bm25(_sections(spark, sf_dir), SCOPE_QUERY, 20, ["src1-0", "src3-0", "src5-0"]).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
 
 
 def scan_tf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def scan_tf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_union_indexed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
     indexed = sections.where(F.col("doc_id").rlike("^src[0-9]-")).select("doc_id")
-    return search.search(sections, SCOPE_QUERY, indexed, 25).select("doc_id", "section_id", "title", "score")
+    return search.search(sections, SCOPE_QUERY, indexed, 25).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
 
 
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
