@@ -2,9 +2,9 @@
 
 A url's verdict is its longest fitting rule's, else its host's.  A host's trust is its personalised PageRank from the
 hosts of allowed urls along links; its distrust is that from the hosts of blocked urls against links, as a host that
-links to blocked ones is not to be trusted.  Seeds weigh by their share of allowed and blocked urls; the share of a
-host's urls that no rule fits counts for it as trust that doesn't spread, so a few blocked urls don't block a host.
-A host is blocked if its distrust is over ``threshold`` times its trust.  All of it is DataFrame operations: urls and links
+links to blocked ones is not to be trusted.  Seeds are hosts with allowed, or blocked, urls for the most part, and weigh
+by that share, so a few blocked urls don't block a host.  A host is blocked if its distrust is over ``threshold``
+times its trust.  All of it is DataFrame operations: urls and links
 become (host, host, count) rows, summed before they move, and ranks stay distributed; ``rounds`` power iterations with
 damping 0.85 leave less than 0.85^rounds of the mass to place.
 
@@ -88,18 +88,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 
 def host_trust(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of all hosts; ``pages`` has host, html and rule_verdict."""
+    """(host, trust, distrust) of all hosts with either; ``pages`` has host, html and rule_verdict."""
     counts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("allow"), F.count_if(F.col("rule_verdict") == "block").alias("block"))
     counts = materialize(counts, "seeds")
     edges = materialize(host_edges(pages), "edges")
     back = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
     reversed_ = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("weight"))
-    trust = propagate(edges, counts.where("allow > 0").select("host", (F.col("allow") / F.col("n")).alias("mass")), damping, rounds)
-    distrust = propagate(reversed_, counts.where("block > 0").select("host", (F.col("block") / F.col("n")).alias("mass")), damping, rounds)
-    own = counts.select("host", ((F.col("n") - F.col("allow") - F.col("block")) / F.col("n") * (1 - damping)).alias("own"))
-    all_ = distrust.select("host", F.col("rank").alias("distrust")).join(trust.select("host", F.col("rank").alias("trust")), "host", "full").join(own, "host", "full")
-    zero = F.lit(0.0)
-    return all_.select("host", (F.coalesce("trust", zero) + F.coalesce("own", zero)).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+    seeds = lambda verdict: counts.where(f"2 * {verdict} > n").select("host", (F.col(verdict) / F.col("n")).alias("mass"))
+    trust = propagate(edges, seeds("allow"), damping, rounds).select("host", F.col("rank").alias("trust"))
+    distrust = propagate(reversed_, seeds("block"), damping, rounds).select("host", F.col("rank").alias("distrust"))
+    both = trust.join(distrust, "host", "full")
+    return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -123,7 +122,7 @@ def _op9_sql(damping: float = DAMPING, rounds: int = ROUNDS, threshold: float =
     name, verdict = fits.format(*(r.name for r in longest)), fits.format(*(r.verdict for r in longest))
     walks, ranks = [], {}
     for kind, edges, seed in (("trust", "edges", "allow"), ("distrust", "back", "block")):
-        walks.append(f"{kind}0 AS (SELECT host, {seed} / n AS mass FROM counts WHERE {seed} > 0)")
+        walks.append(f"{kind}0 AS (SELECT host, {seed} / n AS mass FROM counts WHERE 2 * {seed} > n)")
         walks += [f"{kind}{i} AS (SELECT dst AS host, sum(mass * weight) * {damping} AS mass FROM {edges} JOIN {kind}{i - 1} ON src = host GROUP BY dst)" for i in range(1, rounds + 1)]
         ranks[kind] = " UNION ALL ".join(f"SELECT host, mass * {1 - damping} AS rank FROM {kind}{i}" for i in range(rounds + 1))
     after = r"regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1)"
@@ -152,7 +151,7 @@ WITH cut AS (
 ), {", ".join(walks)}, blocked AS (
   SELECT host FROM counts LEFT JOIN (SELECT host, sum(rank) AS trust FROM ({ranks["trust"]}) GROUP BY host) USING (host)
     LEFT JOIN (SELECT host, sum(rank) AS distrust FROM ({ranks["distrust"]}) GROUP BY host) USING (host)
-  WHERE coalesce(distrust, 0) > {threshold} * (coalesce(trust, 0) + (n - allow - block) / n * {1 - damping}) + 1e-9
+  WHERE coalesce(distrust, 0) > {threshold} * coalesce(trust, 0) + 1e-9
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
 """
