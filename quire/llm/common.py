@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it what no column is called."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 

@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, table
+from quire.llm.common import join_skewed, materialize, table, unused
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
+#: Fingerprints of a subtree that a task holds, at most twice as many.
+MOST_LEAVES = 500_000
 #: Node pairs that are walked down at once.
 WIDE = 1_000_000
 
@@ -140,22 +142,33 @@ def _split(inside: np.ndarray, begin: np.ndarray, end: np.ndarray, bit: int) ->
     return begin
 
 
-def near_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(fp, to): links between distinct fingerprints ``fp`` of ``nodes`` that keep the components of all links."""
+def near_links(nodes: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_LEAVES) -> DataFrame:
+    """(fp, to): links between distinct fingerprints ``fp`` of ``nodes`` that keep the components of all links.
+
+    A subtree of more than ``most_leaves`` is cut into parts by hash, and each pair of parts is joined by a task of
+    its own, so that no task holds more than twice that, however many fingerprints share a block.
+    """
     width = -(-BITS // (budget + 1))
     blocks = [(at, min(at + width, BITS)) for at in range(0, BITS, width)]
     rows = nodes.select("fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", BITS - end).bitwiseAND((1 << (end - at)) - 1) for at, end in blocks))).alias("block", "value"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = nodes.sparkSession
+    # At most one large subtree per `most_leaves` leaves.
+    large = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_leaves).select("block", "value", F.ceil(F.col("n") / most_leaves).cast("int").alias("cut"))
+    cut = rows.join(large, ["block", "value"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), "cut").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")))
+    dealt = cut.select("fp", "block", "value", F.explode(pairs).alias("pair")).select("fp", "block", "value", "pair.lo", "pair.hi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        read = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not read:
             return
-        fps, block = (np.concatenate(x) for x in zip(*read, strict=True))
+        fps, block, lo, hi = (np.concatenate(x) for x in zip(*read, strict=True))
         fps = fps.view(np.uint64)
-        for k in np.unique(block):
+        for k, low, high in np.unique(np.stack([block, lo, hi]), axis=1).T.tolist():
             at, end = blocks[k]
-            own = fps[block == k]
+            own = fps[(block == k) & (lo == low) & (hi == high)]
             turned = (own << np.uint64(at)) | (own >> np.uint64(BITS - at)) if at else own
             turned = np.sort(turned)
             top = turned >> np.uint64(BITS - (end - at))
@@ -165,7 +178,7 @@ def near_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
             back = (turned >> np.uint64(at)) | (turned << np.uint64(BITS - at)) if at else turned
             yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[of[linked]].view(np.int64))], ["fp", "to"])
 
-    return rows.repartition(parts, "block", "value").select("fp", "block").mapInArrow(join, "fp long, to long")
+    return dealt.repartition(parts, "block", "value", "lo", "hi").select("fp", "block", "lo", "hi").mapInArrow(join, "fp long, to long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -207,20 +220,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     of = materialize(_component_of_nodes(fps, budget).select("fp", "copies", F.col("first.doc_id").alias("component_id")), "components")
-    # A fingerprint of a thousandth of all rows or more would be a hot key: the thousand there can be at most are sent to every task.
-    rows = of.agg(F.sum("copies")).first()[0] or 0
-    hot = F.broadcast(of.where(F.col("copies") * 1000 >= rows).drop("copies"))
-    named = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(of.where(F.col("copies") * 1000 < rows).drop("copies"), "fp"))
+    named = join_skewed(fps, of.drop("copies"), "fp", counts=of.select("fp", F.col("copies").alias("n")))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The row of the smallest doc_id of each component of ``docs`` (any columns, doc_id and text among them)."""
     first = _component_of_nodes(materialize(fingerprints(docs, shingle), "fingerprints"), budget)
-    unnamed = F.lit(-(2**63))
-    chosen = first.select(F.coalesce("first.doc_id", unnamed).alias("__id"), F.col("first.version").alias("__version")).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), unnamed), "__version": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(chosen, ["__id", "__version"], "left_semi").dropDuplicates(["__id", "__version"]).select(*docs.columns)
+    unnamed, id_, version = F.lit(-(2**63)), unused(docs.columns, "_id"), unused(docs.columns, "_version")
+    chosen = first.select(F.coalesce("first.doc_id", unnamed).alias(id_), F.col("first.version").alias(version)).distinct()
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), unnamed), version: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(chosen, [id_, version], "left_semi").dropDuplicates([id_, version]).select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
