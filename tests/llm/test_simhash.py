@@ -66,13 +66,13 @@ def test_links_keep_all_components(spark):
     r = random.Random(9)
     fps = [near(r, base, r.randint(0, 5)) for base in (r.getrandbits(64) for _ in range(30)) for _ in range(20)]
     signed = sorted(set(np.array(fps, np.uint64).view(np.int64).tolist()))
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    assert all((a ^ b) & 0xFFFFFFFFFFFFFFFF for a, b in links.collect())
-    got = dict(simhash.components(links).collect())
-    labels = [got.get(x, x) for x in signed]
     want = plain_components([x & 0xFFFFFFFFFFFFFFFF for x in signed])
     groups = lambda x: sorted(tuple(i for i, v in enumerate(x) if v == w) for w in set(x))
-    assert groups(labels) == groups(want)
+    for most_leaves in (simhash.MOST_LEAVES, 7):  # whole subtrees, and pairs of their parts
+        links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), most_leaves=most_leaves)
+        assert all((a ^ b) & 0xFFFFFFFFFFFFFFFF for a, b in links.collect())
+        got = dict(simhash.components(links).collect())
+        assert groups([got.get(x, x) for x in signed]) == groups(want)
 
 
 def test_components_of_long_paths(spark):
