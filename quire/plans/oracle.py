@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.operators.concepts import LEAST_KEY, LEAST_TOKEN, MAX_CONCEPTS, STOPWORDS
-from quire.plans.queries import QUERY, SCOPE_QUERY
+from quire.plans.queries import CONCEPT, QUERY, SCOPE_QUERY
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
@@ -18,10 +18,10 @@ TURNS = """v_turns AS (
 )"""
 MARKS = """v_marks AS (
   SELECT doc_id, pos, title, page_index, level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, level, title, pos) - 1 AS INTEGER) AS nr FROM (
-    SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS pos, text[1:20] AS title, CAST(turn // 2 AS INTEGER) AS page_index, CAST(1 + turn % 2 AS INTEGER) AS level FROM conversations WHERE role = 'user')
+    SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS pos, split_part(text, chr(10), 1) AS title, CAST(turn // 2 AS INTEGER) AS page_index, CAST(1 + turn % 2 AS INTEGER) AS level FROM conversations WHERE role = 'user')
 )"""
 ANNOTATIONS = """v_ann AS (
-  SELECT s.doc_id, s.section_id, l.toxic = 1 OR l.quality = 0 AS opinion, l.toxic = 0 AND l.quality = 0 AS lists, s.title, CASE WHEN l.toxic = 0 AND l.quality = 1 THEN s.title[1:40] ELSE '' END AS raw
+  SELECT s.doc_id, s.section_id, l.toxic = 1 OR l.quality = 0 AS opinion, l.toxic = 0 AND l.quality = 0 AS lists, s.title, CASE WHEN l.toxic = 0 AND l.quality = 1 THEN s.title ELSE '' END AS raw
   FROM labels l JOIN v_sections s ON s.ord = l.doc_id
 ), v_sum AS (
   SELECT doc_id, section_id, opinion, lists, title, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS summary FROM v_ann
@@ -174,7 +174,7 @@ SELECT section_id, CASE WHEN p IS NULL THEN text[1:160] || CASE WHEN len(text) >
     "tokenize_terms": f"WITH {SECTIONS}, {TOKENS} SELECT section_id, term, count(*) AS tf FROM (SELECT section_id, unnest(t) AS term FROM tokens) GROUP BY section_id, term",
     "folded_terms": f"WITH {SECTIONS} SELECT section_id, array_to_string({_terms('title')}, ' ') AS terms FROM v_sections",
     "slugify_titles": f"WITH {SECTIONS} SELECT section_id, {_slug('title')} AS slug FROM v_sections",
-    "unique_slugs": f"WITH RECURSIVE {SECTIONS}, slugged AS (SELECT doc_id, ord AS nr, {_slug('title[1:2]')} AS slug FROM v_sections), {_NAMES} SELECT doc_id, nr, name AS slug FROM named",
+    "unique_slugs": f"WITH RECURSIVE {SECTIONS}, slugged AS (SELECT doc_id, ord AS nr, {_slug('title')} AS slug FROM v_sections), {_NAMES} SELECT doc_id, nr, name AS slug FROM named",
     "section_prev_next": f"WITH {SECTIONS}, {PARENTS} SELECT section_id, prev_id, next_id FROM parents",
     "section_outline": f"WITH {SECTIONS}, {PARENTS} SELECT doc_id, section_id, ord, title, level, parent_id FROM parents",
     "section_children": f"WITH {SECTIONS}, {PARENTS} SELECT p.section_id, coalesce(c.ids, '') AS child_ids FROM v_sections p LEFT JOIN (SELECT parent_id, string_agg(section_id, ',' ORDER BY ord) AS ids FROM parents GROUP BY parent_id) c ON c.parent_id = p.section_id",
@@ -182,8 +182,8 @@ SELECT section_id, CASE WHEN p IS NULL THEN text[1:160] || CASE WHEN len(text) >
   SELECT doc_id, section_id, 'parent' AS relation, parent_id AS other_id FROM parents UNION ALL SELECT doc_id, section_id, 'prev', prev_id FROM parents UNION ALL SELECT doc_id, section_id, 'next', next_id FROM parents
   UNION ALL SELECT doc_id, parent_id, 'child', section_id FROM parents WHERE parent_id IS NOT NULL)
 SELECT l.doc_id, l.section_id, relation, other_id, s.title AS other_title FROM links l JOIN v_sections s ON s.section_id = other_id""",
-    "dangling_links": f"""WITH {SECTIONS}, {PARENTS}, here AS (SELECT * FROM parents WHERE ord % 5 <> 0)
-SELECT section_id, CASE WHEN prev_id IN (SELECT section_id FROM here) THEN prev_id END AS prev_id, CASE WHEN next_id IN (SELECT section_id FROM here) THEN next_id END AS next_id FROM here""",
+    "dangling_links": f"""WITH {SECTIONS}, {PARENTS}
+SELECT section_id, CASE WHEN level <> 3 THEN prev_id END AS prev_id, CASE WHEN level <> 3 THEN next_id END AS next_id FROM parents""",
     "segment_heading": f"WITH RECURSIVE {HEADING} SELECT * FROM linked",
     "segment_bookmark": f"""WITH RECURSIVE {HEADING.replace("v_turns AS (", "v_all AS (", 1).replace("), opened AS", "), v_turns AS (SELECT * FROM v_all WHERE doc_id NOT IN (SELECT doc_id FROM v_marks0)), opened AS", 1).replace("v_all AS (", "v_marks0 AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id FROM conversations WHERE role = 'user'), v_all AS (", 1)}
 , {MARKS}, ranged AS (
@@ -219,22 +219,22 @@ SELECT t.doc_id, t.id, r.nr FROM v_turns t JOIN ranged r ON r.doc_id = t.doc_id
     "concepts_top50": f"WITH {SECTIONS}, {CANDIDATES}, {_concepts()} SELECT doc_id, position, slug, title, string_agg(section_id, ',' ORDER BY spot) AS section_ids FROM concepts JOIN listed USING (doc_id, slug) GROUP BY doc_id, position, slug, title",
     "concept_mentions_merged": f"WITH {MERGED} SELECT * FROM mentions",
     "concept_nodes": f"WITH {MERGED} SELECT * FROM nodes",
-    "concept_mentions_of": f"WITH {MERGED} SELECT slug, doc_id, section_id, section_title, gloss, source, summary FROM detailed WHERE slug LIKE 'the-%'",
+    "concept_mentions_of": f"WITH {MERGED} SELECT slug, doc_id, section_id, section_title, gloss, source, summary FROM detailed WHERE slug = '{CONCEPT}'",
     "section_concepts": f"WITH {MERGED} SELECT * FROM nodes WHERE slug IN (SELECT slug FROM mentions WHERE section_id = 'src1-0.d1')",
     "concepts_bulk": f"WITH {MERGED} SELECT slug, min(title) AS title, string_agg(section_id || '|' || section_title || '|' || gloss || '|' || source, chr(10) ORDER BY doc_id, ord, section_id) AS mentions FROM detailed GROUP BY slug",
     "annotated_mention_count": f"WITH {MERGED} SELECT slug, count(*) FILTER (summary <> '') AS annotated, count(*) AS mentions FROM detailed GROUP BY slug",
     "annotation_dedup": f"WITH {SECTIONS}, {ANNOTATIONS} SELECT section_id, {_slug('title')} AS slug, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, 'a gloss' AS gloss FROM v_sum WHERE lists",
-    "stale_annotations": f"WITH {SECTIONS}, {ANNOTATIONS} SELECT section_id, raw AS summary FROM v_ann WHERE section_id IN (SELECT section_id FROM v_sections WHERE ord % 3 = 0)",
+    "stale_annotations": f"WITH {SECTIONS}, {ANNOTATIONS} SELECT section_id, raw AS summary FROM v_ann WHERE NOT opinion",
     "plan_next_batch": f"WITH {PLAN} SELECT plan_id, plan_id AS doc_id, pos, section_id FROM p_left WHERE nr <= 3",
     "plan_progress": f"""WITH {PLAN}, t AS (SELECT plan_id, count(*) AS total FROM p_sections GROUP BY plan_id), d AS (SELECT plan_id, count(*) AS completed FROM p_done GROUP BY plan_id)
 SELECT plan_id, plan_id AS doc_id, coalesce(completed, 0) AS completed, total, coalesce(completed, 0) >= total AS done FROM t LEFT JOIN d USING (plan_id)""",
     "plan_mark_read": f"WITH {PLAN} SELECT * FROM p_done UNION ALL SELECT plan_id, coalesce((SELECT max(seq) FROM p_done d WHERE d.plan_id = l.plan_id), -1) + 1, section_id FROM p_left l WHERE nr = 1",
     "list_documents": f"WITH {SECTIONS} SELECT doc_id, arg_min(title, ord) AS title, count(*) AS section_count FROM v_sections GROUP BY doc_id",
     "catalog_counts": f"WITH RECURSIVE {HEADING} SELECT doc_id, count(*) AS section_count FROM linked GROUP BY doc_id",
-    "duplicate_ids": f"WITH {SECTIONS} SELECT doc_id, {_slug('title[1:2]')} AS section_id, count(*) AS n FROM v_sections GROUP BY 1, 2 HAVING count(*) > 1",
-    "unsafe_ids": f"WITH {SECTIONS}, ids AS (SELECT doc_id, CASE WHEN ord % 4 = 0 THEN title ELSE section_id END AS section_id FROM v_sections) SELECT * FROM ids WHERE NOT regexp_full_match(section_id, '[a-z0-9]+(-[a-z0-9]+)*(\\.[a-z0-9]+(-[a-z0-9]+)*)*')",
+    "duplicate_ids": f"WITH {SECTIONS} SELECT doc_id, {_slug('title')} AS section_id, count(*) AS n FROM v_sections GROUP BY 1, 2 HAVING count(*) > 1",
+    "unsafe_ids": f"WITH {SECTIONS}, ids AS (SELECT doc_id, CASE WHEN level = 1 THEN title ELSE section_id END AS section_id FROM v_sections) SELECT * FROM ids WHERE NOT regexp_full_match(section_id, '[a-z0-9]+(-[a-z0-9]+)*(\\.[a-z0-9]+(-[a-z0-9]+)*)*')",
     "section_assets": f"""WITH RECURSIVE {HEADING} SELECT c.doc_id, s.section_id, CAST(row_number() OVER (PARTITION BY c.doc_id, c.nr ORDER BY c.ord) - 1 AS INTEGER) AS pos, c.id AS block_id, 'image' AS type, c.text AS caption,
-  CASE WHEN c.ord % 2 = 0 THEN 'images/' ELSE '' END || c.id || '.png' AS path FROM cut c JOIN linked s ON s.doc_id = c.doc_id AND s.ord = c.nr QUALIFY c.type = 'text' AND c.ord % 3 <> 0""",
+  CASE WHEN len(c.text) > 60 THEN 'images/' ELSE '' END || c.id || '.png' AS path FROM cut c JOIN linked s ON s.doc_id = c.doc_id AND s.ord = c.nr QUALIFY c.type = 'text' AND c.page_idx > 0""",
     "render_section_md": f"""WITH RECURSIVE {HEADING} SELECT doc_id, section_id, '---' || chr(10) || 'id: ' || {_json("section_id")} || chr(10) || 'doc_id: ' || {_json("doc_id")} || chr(10) || 'title: ' || {_json("title")} || chr(10) || 'level: ' || CAST(level AS VARCHAR) || chr(10)
   || 'heading_path: ' || {_json_list("heading_path", " / ")} || chr(10) || 'page_start: ' || coalesce(CAST(page_start AS VARCHAR), 'null') || chr(10) || 'page_end: ' || coalesce(CAST(page_end AS VARCHAR), 'null') || chr(10)
   || 'prev_id: ' || {_json("prev_id")} || chr(10) || 'next_id: ' || {_json("next_id")} || chr(10) || 'block_ids: ' || {_json_list("block_ids", ",")} || chr(10) || '---' || chr(10) || chr(10)
@@ -245,5 +245,5 @@ SELECT plan_id, plan_id AS doc_id, coalesce(completed, 0) AS completed, total, c
     || CASE WHEN source = 'agent' THEN ' (agent-verified)' ELSE '' END || CASE WHEN summary <> '' THEN chr(10) || '  > ' || summary ELSE '' END, chr(10) ORDER BY ord, section_id) AS part FROM detailed JOIN books USING (doc_id) GROUP BY slug, doc_id, book_title)
 SELECT slug, '# ' || title || chr(10) || chr(10) || 'Mentioned in ' || CAST(doc_count AS VARCHAR) || CASE WHEN doc_count = 1 THEN ' book' ELSE ' books' END || ' · ' || CAST(mention_count AS VARCHAR) || CASE WHEN mention_count = 1 THEN ' section.' ELSE ' sections.' END
   || chr(10) || body || chr(10) AS content FROM nodes JOIN (SELECT slug, string_agg(part, chr(10) ORDER BY doc_id) AS body FROM parts GROUP BY slug) USING (slug)""",
-    "bridge_changed": f"WITH RECURSIVE {HEADING} SELECT section_id, section_id || '.md' AS name, ord % 2 <> 0 OR ord % 4 = 0 AS changed FROM linked",
+    "bridge_changed": f"WITH RECURSIVE {HEADING} SELECT section_id, section_id || '.md' AS name, level <> 2 OR page_start = 0 AS changed FROM linked",
 }

@@ -9,7 +9,7 @@ from quire.functions.text import slugify, snippet, terms, token_count
 from quire.operators import assets, concepts, graph, plans, render, search, segment, validation
 from quire.sources import views
 
-QUERY, SCOPE_QUERY = "Ering onti été queue", "thti erly"
+QUERY, SCOPE_QUERY, CONCEPT = "Ering onti été queue", "thti erly", "thtion"
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def slugify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sections(spark, sf_dir).select("doc_id", F.col("ord").alias("nr"), F.substring("title", 1, 2).alias("title"))
+    rows = _sections(spark, sf_dir).select("doc_id", F.col("ord").alias("nr"), "title")
     return segment.unique_slugs(rows).select("doc_id", "nr", "slug")
 
 
@@ -76,8 +76,10 @@ def section_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = graph.with_neighbours(_sections(spark, sf_dir)).select("doc_id", "section_id", "ord", "prev_id", "next_id")
-    return graph.drop_dangling(linked.where("ord % 5 <> 0")).select("section_id", "prev_id", "next_id")
+    """Links of sections of level 3 are made to lead nowhere."""
+    linked = graph.with_neighbours(_sections(spark, sf_dir)).select("doc_id", "section_id", "level", "prev_id", "next_id")
+    broken = linked.withColumns({c: F.when(F.col("level") == 3, F.concat(c, F.lit("-gone"))).otherwise(F.col(c)) for c in ("prev_id", "next_id")})
+    return graph.drop_dangling(broken).select("section_id", "prev_id", "next_id")
 
 
 def _flat(sections: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def concept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_mentions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detailed(spark, sf_dir).where("slug LIKE 'the-%'").select("slug", "doc_id", "section_id", "section_title", "gloss", "source", "summary")
+    return _detailed(spark, sf_dir).where(F.col("slug") == CONCEPT).select("slug", "doc_id", "section_id", "section_title", "gloss", "source", "summary")
 
 
 def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +156,9 @@ def annotation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = _sections(spark, sf_dir).where("ord % 3 = 0")
-    return concepts.live_annotations(views.v_annotations(spark, sf_dir), sections).select("section_id", "summary")
+    """Annotations with an opinion are made to name sections that are gone."""
+    marks = views.v_annotations(spark, sf_dir).withColumn("section_id", F.when(F.col("concepts").isNotNull(), F.concat("section_id", F.lit("-gone"))).otherwise(F.col("section_id")))
+    return concepts.live_annotations(marks, _sections(spark, sf_dir)).select("section_id", "summary")
 
 
 def plan_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,20 +183,20 @@ def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _sections(spark, sf_dir).select("doc_id", slugify(F.substring("title", 1, 2)).alias("section_id"))
+    ids = _sections(spark, sf_dir).select("doc_id", slugify(F.col("title")).alias("section_id"))
     return validation.duplicate_ids(ids)
 
 
 def unsafe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _sections(spark, sf_dir).select("doc_id", F.when(F.col("ord") % 4 == 0, F.col("title")).otherwise(F.col("section_id")).alias("section_id"))
+    ids = _sections(spark, sf_dir).select("doc_id", F.when(F.col("level") == 1, F.col("title")).otherwise(F.col("section_id")).alias("section_id"))
     return validation.unsafe_ids(ids)
 
 
 def section_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as images: every third file is missing, every other one lies under images/."""
+    """Assistant turns as images: those of the first page have no file, those of long captions lie under images/."""
     blocks = views.v_turn_blocks(spark, sf_dir)
     made = blocks.withColumn("asset_path", F.concat(F.lit("./x/../"), "id", F.lit(".png"))).withColumn("type", F.when(F.col("type") == "text", "image").otherwise(F.col("type")))
-    files = made.where("type = 'image' AND ord % 3 <> 0").select("doc_id", F.concat(F.when(F.col("ord") % 2 == 0, "images/").otherwise(""), "id", F.lit(".png")).alias("path"))
+    files = made.where("type = 'image' AND page_idx > 0").select("doc_id", F.concat(F.when(F.length("text") > 60, "images/").otherwise(""), "id", F.lit(".png")).alias("path"))
     return assets.section_assets(segment.by_heading(blocks), made, files)
 
 
@@ -212,8 +215,8 @@ def render_concept_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bridge_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = segment.by_heading(views.v_turn_blocks(spark, sf_dir))
-    before = render.staged_sources(sections.where("ord % 2 = 0")).select("section_id", F.sha2("content", 256).alias("sha"))
-    changed = sections.withColumn("text", F.when(F.col("ord") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    before = render.staged_sources(sections.where("level = 2")).select("section_id", F.sha2("content", 256).alias("sha"))
+    changed = sections.withColumn("text", F.when(F.col("page_start") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return render.staged_sources(changed, before).select("section_id", "name", "changed")
 
 

@@ -53,7 +53,7 @@ def v_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bookmark per user turn."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     return turns.select(
-        F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("pos"), F.substring("text", 1, 20).alias("title"), F.floor(F.col("turn") / 2).cast("int").alias("page_index"), (1 + F.col("turn") % 2).cast("int").alias("level")
+        F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("pos"), F.substring_index("text", "\n", 1).alias("title"), F.floor(F.col("turn") / 2).cast("int").alias("page_index"), (1 + F.col("turn") % 2).cast("int").alias("level")
     )
 
 
@@ -62,7 +62,7 @@ def v_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     title = F.substring_index("text", "\n", 1)
     concepts = F.when(F.col("toxic") == 1, F.array().cast(f"array<{CONCEPT}>")).when(F.col("quality") == 0, F.array(F.struct(F.lit("").alias("slug"), title.alias("title"), F.lit("from label").alias("gloss"))))
-    summary = F.when((F.col("toxic") == 0) & (F.col("quality") == 1), F.substring(title, 1, 40)).otherwise("")
+    summary = F.when((F.col("toxic") == 0) & (F.col("quality") == 1), title).otherwise("")
     return labels.select(_book().alias("doc_id"), F.concat(_book(), F.lit(".d"), F.col("doc_id").cast("string")).alias("section_id"), concepts.alias("concepts"), summary.alias("summary"))
 
 
