@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import join_skewed, materialize, table
 
 THRESHOLD, LEAST_PAGES, CONTENT_WEIGHT = 0.2, 5, 0.9
 #: Elements nested deeper belong to the one at this depth.
@@ -264,7 +264,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
             texts = [main_text(page, set(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(each, "page_id long, url string, text string, n_chars long")
+    return join_skewed(rows, materialize(low, "low"), "host", "left").select("page_id", "url", "html", "low").mapInArrow(each, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
