@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import partition_keys, table, unused
 
 WIDTH = 50
 #: Words that a scan task hashes at once.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary())])
 _HITS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 _BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -97,8 +97,8 @@ def unpack_ascending(data: bytes) -> np.ndarray:
 class _Chunk:
     """Documents of a scan task until they hold enough words."""
 
-    def __init__(self, width: int, buckets: int, check_bytes: int) -> None:
-        self.width, self.buckets, self.check_bytes = width, buckets, check_bytes
+    def __init__(self, width: int, keys: list[int], check_bytes: int) -> None:
+        self.width, self.keys, self.buckets, self.check_bytes = width, keys, len(keys), check_bytes
         self.value, self.rows, self.n = WordValues(), [], 0
 
     def add(self, doc_id: int, version: int, text: bytes) -> bool:
@@ -146,14 +146,14 @@ class _Chunk:
                 # doc by doc, then by place: one ascending row of numbers
                 spread = np.concatenate([[0], np.cumsum(lengths[docs])])
                 table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
-                for column, x in zip(out, (b, table_.astype("<i8").tobytes(), _low_bytes(hashes[own]), check[own].tobytes(), pack_ascending(place + spread[nth])), strict=True):
+                for column, x in zip(out, (self.keys[b], table_.astype("<i8").tobytes(), _low_bytes(hashes[own]), check[own].tobytes(), pack_ascending(place + spread[nth])), strict=True):
                     column.append(x)
         # Hits settled here pass through the shuffle beside the blobs, spread over the buckets.
         for nth, own in enumerate(np.array_split(local, min(self.buckets, len(local) // 100_000 + 1)) if len(local) else []):
             docs, of = np.unique(owner[own], return_inverse=True)
             spread = np.concatenate([[0], np.cumsum(lengths[docs])])
             table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
-            for column, x in zip(out, (int(doc_ids[0] + nth) % self.buckets, table_.astype("<i8").tobytes(), b"", b"", pack_ascending(at[own] - starts[docs][of] + spread[of])), strict=True):
+            for column, x in zip(out, (self.keys[int(doc_ids[0] + nth) % self.buckets], table_.astype("<i8").tobytes(), b"", b"", pack_ascending(at[own] - starts[docs][of] + spread[of])), strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOB, strict=True)], schema=_BLOB)
 
@@ -172,9 +172,9 @@ def _from_low_bytes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
+def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: np.ndarray, keys: list[int]) -> pa.RecordBatch:
     """A row per group of documents: each one's doc_id, version and number of hits, and the places of their hits."""
-    part = (doc_ids.astype(np.uint64) * _BASE >> np.uint64(33)).astype(np.int64) % parts
+    part = (doc_ids.astype(np.uint64) * _BASE >> np.uint64(33)).astype(np.int64) % len(keys)
     order = np.lexsort((place, owner, part[owner]))
     owner, place = owner[order], place[order]
     rows: list[list] = [[], [], []]
@@ -183,7 +183,7 @@ def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: n
         # places of all documents in one ascending row: each document's begin after the last one's end
         last = place[own][np.cumsum(counts) - 1] + 1
         spread = np.repeat(np.cumsum(last) - last, counts)
-        for column, x in zip(rows, (int(p), np.stack([doc_ids[docs], versions[docs], counts]).astype("<i8").tobytes(), pack_ascending(place[own] + spread)), strict=True):
+        for column, x in zip(rows, (keys[p], np.stack([doc_ids[docs], versions[docs], counts]).astype("<i8").tobytes(), pack_ascending(place[own] + spread)), strict=True):
             column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _HITS, strict=True)], schema=_HITS)
 
@@ -208,7 +208,7 @@ def _gather(blobs: list[tuple[bytes, bytes]]) -> dict[tuple[int, int], list[np.n
     return out
 
 
-def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, parts: int) -> pa.RecordBatch:
+def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, keys: list[int]) -> pa.RecordBatch:
     """The hits among one bucket's windows: all but those of the smallest doc_id of each hash.
 
     Blobs without hashes are hits that a scan task has settled already.
@@ -231,7 +231,7 @@ def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, pa
     head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else order
     hit = open_[order[d > np.repeat(d[head], np.diff(np.append(head, len(order))))]] if len(h) else order
     hit = np.concatenate([np.flatnonzero(settled), hit])
-    return _hits(ids, version, owner[hit], place[hit], parts)
+    return _hits(ids, version, owner[hit], place[hit], keys)
 
 
 def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -248,9 +248,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1)
     ``version`` is the text's hash: it tells apart rows that share a doc_id; rows of the same text too are treated alike.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = partition_keys(docs.sparkSession, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(width, buckets, check_bytes)
+        chunk = _Chunk(width, keys, check_bytes)
         for batch in batches:
             for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk.add(doc_id, version, text):
@@ -272,7 +273,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in grouped(batches):
-            yield _settle(blobs, check_bytes, buckets)
+            yield _settle(blobs, check_bytes, keys)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in grouped(batches):
@@ -300,11 +301,12 @@ def _kept(text: bytes | None, at: bytes | None, width: int) -> tuple[list[bytes]
 
 
 def _with_starts(rows: DataFrame, width: int, check_bytes: int) -> DataFrame:
-    """Adds ``__at``, the starts of repeated windows, to ``rows`` (any columns, doc_id and text among them)."""
+    """``rows`` (any columns, doc_id and text among them) and last the starts of their repeated windows."""
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    starts = repeated_windows(narrow, width, check_bytes).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("at").alias("__at"))
-    keyed = rows.withColumns({"__id": F.col("doc_id").cast("long"), "__version": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(starts, ["__id", "__version"], "left").drop("__id", "__version")
+    id_, version, at = (unused(rows.columns, name) for name in ("_id", "_version", "_at"))
+    starts = repeated_windows(narrow, width, check_bytes).select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("at").alias(at))
+    keyed = rows.withColumns({id_: F.col("doc_id").cast("long"), version: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(starts, [id_, version], "left").select(*rows.columns, at)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
@@ -320,7 +322,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) ->
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    met = _with_starts(docs.select("doc_id", "text"), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "__at")
+    met = _with_starts(docs.select("doc_id", "text"), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "_at")
     return met.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -349,7 +351,7 @@ def keep_first_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1
                 columns[n_chars] = pa.array(sizes, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(stays))
 
-    return met.select(*docs.columns, "__at").mapInArrow(cut, schema)
+    return met.mapInArrow(cut, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
