@@ -56,6 +56,8 @@ _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot sidebar sidenav aside widget widgets "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations pagination pager toolbar skip skiplink copyright disclaimer banner form search".split()
 )
+_BEGIN = re.compile("cookie|comment|sidebar|advert|sponsor|newsletter|subscri|breadcrumb|navbar|navigation|pagination|popup")
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _ARTICLE = frozenset(["article", "main"])
 _PLAIN = frozenset(["html", "body"]) | _ARTICLE
 
@@ -63,32 +65,36 @@ _PLAIN = frozenset(["html", "body"]) | _ARTICLE
 class Element:
     """A node of the page's tree: text runs and child elements in order."""
 
-    __slots__ = ("key", "marked", "named", "parts", "tag")
+    __slots__ = ("key", "main", "marked", "named", "parts", "tag")
 
-    def __init__(self, tag: str, key: int, named: bool, marked: bool) -> None:
-        self.tag, self.key, self.named, self.marked = tag, key, named, marked
+    def __init__(self, tag: str, key: int = 0, named: bool = False, marked: bool = False, main: bool = False) -> None:
+        self.tag, self.key, self.named, self.marked, self.main = tag, key, named, marked, main
         self.parts: list[str | Element] = []
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """(classes in order, whether class, id or role says that this is no main text)."""
-    classes, boiler = "", False
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(classes in order, whether class, id, role or style say that this is no main text, whether the role says that it is)."""
+    classes, boiler, article = "", False, False
     if attributes and tag not in _PLAIN:
+        unquoted = re.sub(r"""=\s*("[^"]*"|'[^']*')""", "=", attributes)
+        boiler = bool(_UNSEEN.search(unquoted))
         for name, *values in _ATTRIBUTE.findall(attributes):
-            value = next(filter(None, values), "").lower()
-            if name.lower() == "class":
-                classes = ".".join(sorted(value.split()))
-            elif name.lower() == "role":
+            name, value = name.lower(), next(filter(None, values), "").lower()
+            if name == "role":
                 boiler |= value in _ROLES
-                continue
-            if name.lower() in ("class", "id"):
-                boiler |= not _NAMES.isdisjoint(_NAME.findall(value))
-    return classes, boiler
+                article |= value in _ARTICLE
+            elif name == "style":
+                boiler |= bool(_UNSEEN.search(value))
+            elif name in ("class", "id"):
+                if name == "class":
+                    classes = ".".join(sorted(value.split()))
+                boiler |= any(x in _NAMES or _BEGIN.match(x) for x in _NAME.findall(value))
+    return classes, boiler, article
 
 
 def parse(page: str) -> Element:
     """The page's tree.  Never fails: unknown or misplaced tags are text-free or ignored, open elements end with the page."""
-    root = Element("", 0, False, False)
+    root = Element("")
     stack, at, n = [root], 0, len(page)
     for tag in iter(lambda: _TAG.search(page, at), None):
         if tag.start() > at:
@@ -109,9 +115,10 @@ def parse(page: str) -> Element:
             _close(stack, {"p"}, {"td", "th", "li", "div", "article", "section", "main", "table", "body"})
         if name in _CLOSED_BY:
             _close(stack, _CLOSED_BY[name], _SCOPE[name])
-        classes, boiler = _marks(name, tag[3])
+        classes, boiler, main = _marks(name, tag[3])
+        main |= name in _ARTICLE
         parent = stack[-1]
-        element = Element(name, xxhash.xxh64_intdigest(f"{parent.key} {name}.{classes}") >> 1, bool(classes), boiler)
+        element = Element(name, xxhash.xxh64_intdigest(f"{parent.key} {name}.{classes}") >> 1, bool(classes), boiler, main)
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -119,7 +126,7 @@ def parse(page: str) -> Element:
         parent.parts.append(element)
         if name not in _VOID and not tag[3].endswith("/") and len(stack) < DEEPEST:
             stack.append(element)
-        if name in _ARTICLE or name == "h1":
+        if main or name == "h1":
             for above in stack[1:-1]:
                 above.marked = False  # what holds the article is not decided by its name
     if at < n and not (page[at] == "<" and page[at + 1 : at + 2].isalpha()):
@@ -150,7 +157,7 @@ def _blocks(element: Element, low: frozenset[int] | set[int], in_article: bool,
         elif part.tag in ("br", "hr"):
             run.append(" ")
         elif not _removed(part, in_article) and not (part.key in low and _judged(part, in_article)):
-            inside = in_article or part.tag in _ARTICLE
+            inside = in_article or part.main
             if part.tag in _INLINE:
                 _blocks(part, low, inside, run, out)
             else:
@@ -169,7 +176,7 @@ def _end(run: list[str], out: list[str]) -> None:
 
 def _judged(element: Element, in_article: bool) -> bool:
     """Whether entropy may decide over this element."""
-    return element.tag not in _PLAIN and element.tag not in _INLINE and (not in_article or element.named)
+    return not element.main and element.tag not in _PLAIN and element.tag not in _INLINE and (not in_article or element.named)
 
 
 def blocks_of(element: Element, low: frozenset[int] | set[int] = frozenset(), in_article: bool = False) -> list[str]:
@@ -185,7 +192,7 @@ def _articles(element: Element) -> list[Element]:
     out = []
     for part in element.parts:
         if isinstance(part, Element) and not _removed(part, False):
-            out += [part] if part.tag in _ARTICLE else _articles(part)
+            out += [part] if part.main else _articles(part)
     return out
 
 
@@ -213,12 +220,12 @@ def style_features(page: str) -> Iterator[tuple[int, str, int]]:
                 yield node, "block", block
         for part in element.parts:
             if isinstance(part, Element) and not _removed(part, in_article):
-                yield from walk(part, in_article or part.tag in _ARTICLE, nodes)
+                yield from walk(part, in_article or part.main, nodes)
 
     root = parse(page)
     articles = _articles(root)  # where a page marks its article, nothing else is kept, nor need be judged
     for element in articles or [root]:
-        yield from walk(element, element.tag in _ARTICLE, [])
+        yield from walk(element, element.main, [])
 
 
 def host_of(url: str | Column) -> Column:

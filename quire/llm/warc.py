@@ -8,8 +8,9 @@ and SHA-256 are taken anew from the stored bytes, and a record whose header says
 Of the records of one payload of at least ``least_bytes`` bytes the one with the largest page_id is a response and the
 others are revisits that name it; smaller ones are all responses.
 
-What moves: digests and ids are grouped without payloads, summed per task first, so one payload in thousands of
-records is no hot group; payloads move once, one row per distinct digest and task, to be stored.
+What moves: digests and ids are written as a narrow table first and grouped without payloads, summed per task; a
+digest that a thousandth of all records share meets its row by broadcast, so one payload in a third of the records is
+no hot group.  Payloads move once, one row per distinct digest and task, to be stored.
 
 Defined results: null html is the empty payload; a null page_id is never chosen as response over another one, and
 where a payload has no other, its records are all responses; records that share the largest page_id are all
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh_path, table
+from quire.llm.common import fresh_path, join_skewed, materialize, table
 
 LEAST_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
@@ -85,11 +86,11 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, d
     """Writes a record per row of ``pages`` (page_id, url, html)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    digested = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("payload_sha1"), F.length("payload").cast("long").alias("payload_bytes"))
+    digested = materialize(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("payload_sha1"), F.length("payload").cast("long").alias("payload_bytes")), "digests")
     newest = digested.groupBy("digest").agg(F.max("page_id").alias("newest"))
     revisit = (F.col("payload_bytes") >= least_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("newest")) & F.col("newest").isNotNull(), F.lit(False))
     records = (
-        digested.join(newest, "digest")
+        join_skewed(digested, newest, "digest")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisit, F.col("newest")))
         .withColumn("content_length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")))
@@ -109,9 +110,9 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """What each record's header says, beside what its stored payload is: no payload moves."""
     records = spark.read.schema("page_id long, digest string, header string").parquet(archive.records)
     stored = spark.read.schema("digest string, payload binary").parquet(archive.payloads)
-    taken = stored.select("digest", F.sha2("payload", 256).alias("again"), F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    taken = materialize(stored.select("digest", F.sha2("payload", 256).alias("again"), F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes")), "taken")
     page, refers_to = _field("WARC-Page-ID"), _field("WARC-Refers-To-Page-ID")
-    read = records.join(taken, "digest", "left").select(
+    read = join_skewed(records, taken, "digest", "left").select(
         F.when(page != "", page.cast("long")).alias("page_id"), "payload_bytes", "payload_digest", _field("WARC-Type").alias("record_type"), F.when(refers_to != "", refers_to.cast("long")).alias("refers_to"),
         "digest", "again", _field("WARC-Payload-Digest").alias("said"), _field("Content-Length").cast("long").alias("content_length"),
     )

@@ -20,7 +20,7 @@ from quire.llm import html_extraction as h
         ('<div class="ad">a</div><div class="cookie-notice">c</div><div id="comments"><p>r</p></div><div role="navigation">n</div><p>t', "t"),
         ('<div class="with-sidebar"><article><header><h1>T</h1></header><p>x</p><section class="comments">c</section><footer>by</footer></article></div><p>out', "T x"),
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a b c"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<main><p>m</main><article><p>a</article>", "m a"), ("<article></article><p>fallback", "fallback"),
-        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("</div></p>x", "x"), ("<p a='>'>quoted</p>", "quoted"), ('<p title="a>b" x=y>q', "q"), ("<ARTICLE><P>Case</P></ARTICLE>", "Case"), ("<title>t</title><textarea>u</textarea>v", "v"), ("<a/b>x", "x"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("</div></p>x", "x"), ("<p a='>'>quoted</p>", "quoted"), ('<p title="a>b" x=y>q', "q"), ("<ARTICLE><P>Case</P></ARTICLE>", "Case"), ("<title>t</title><textarea>u</textarea>v", "v"), ("<div role=main><p>in</div><p>out", "in"), ("<p hidden>no<p style='display: none'>no<p class=hidden-gem>yes", "yes"), ("<div class=cookiebar>c</div><div id=comments-list>d</div><p>t", "t"), ("<a/b>x", "x"),
     ],
 )
 def test_main_text(page, want):
