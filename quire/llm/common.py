@@ -43,6 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partition_count(df: DataFrame, bytes_each: int) -> int:
+    """How many partitions keep shares of ``df`` under ``bytes_each`` of its files' size, the session's number at least.
+
+    The size is the planner's estimate, so nothing is read for it; where it has none the session's number holds.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
+
+
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of ``n`` hash partitions an int that ``repartition(n, key)`` sends there, so that n equal shares stay equal."""
     key = F.col("id").cast("int")

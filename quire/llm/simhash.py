@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import join_skewed, materialize, table, unused
+from quire.llm.common import join_skewed, materialize, partition_count, table, unused
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of a subtree that a task holds, at most twice as many.
 MOST_LEAVES = 500_000
+#: Bytes of the table of distinct fingerprints that a task's subtrees come from, under a million fingerprints.
+PART_BYTES = 16_000_000
 #: Node pairs that are walked down at once.
 WIDE = 1_000_000
 
@@ -151,14 +153,13 @@ def near_links(nodes: DataFrame, budget: int = BUDGET, most_leaves: int = MOST_L
     width = -(-BITS // (budget + 1))
     blocks = [(at, min(at + width, BITS)) for at in range(0, BITS, width)]
     rows = nodes.select("fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", BITS - end).bitwiseAND((1 << (end - at)) - 1) for at, end in blocks))).alias("block", "value"))
-    spark = nodes.sparkSession
     # At most one large subtree per `most_leaves` leaves.
     large = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_leaves).select("block", "value", F.ceil(F.col("n") / most_leaves).cast("int").alias("cut"))
     cut = rows.join(large, ["block", "value"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), "cut").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")))
     dealt = cut.select("fp", "block", "value", F.explode(pairs).alias("pair")).select("fp", "block", "value", "pair.lo", "pair.hi")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partition_count(nodes, PART_BYTES)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = [tuple(c.to_numpy() for c in b.columns) for b in batches]

@@ -8,7 +8,7 @@ others are hits.  Hits of a document are merged into maximal removal intervals.
 What moves: before the shuffle, a scan task settles equal windows among the documents it holds, so of a window that
 stands in thousands of documents it sends one.  The rest leaves as blobs, one per chunk of words and bucket of
 hashes: 8 bytes of hash and about one of position a window, doc_ids once per blob.  A bucket takes its share of all
-hashes, so there are as many as shuffle partitions, and a task sorts one bucket at a time.  Its hits leave as blobs
+hashes, so there are as many as the input's size asks for, and a task sorts one bucket at a time.  Its hits leave as blobs
 too, one per group of documents.  Texts move once, to meet their hits.
 
 Two different windows agree with odds of 1 in 2^64 (56 bits of hash, 8 of check) times the number of buckets; give
@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import partition_keys, table, unused
+from quire.llm.common import partition_count, partition_keys, table, unused
 
 WIDTH = 50
 #: Words that a scan task hashes at once.
 CHUNK_WORDS = 1_000_000
+#: Bytes of the input's files whose windows make up a bucket, some three million windows.
+BUCKET_BYTES = 12_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary())])
 _HITS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 _BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -242,12 +244,11 @@ def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[heads].tolist(), (starts[np.append(heads[1:], len(starts)) - 1] + width).tolist(), strict=True))
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+def repeated_windows(docs: DataFrame, buckets: int, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
     """(doc_id, version, at): per document, the starts of its windows that also start in a smaller doc_id.
 
     ``version`` is the text's hash: it tells apart rows that share a doc_id; rows of the same text too are treated alike.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(docs.sparkSession, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +301,11 @@ def _kept(text: bytes | None, at: bytes | None, width: int) -> tuple[list[bytes]
     return kept, len(own) - len(kept)
 
 
-def _with_starts(rows: DataFrame, width: int, check_bytes: int) -> DataFrame:
+def _with_starts(rows: DataFrame, buckets: int, width: int, check_bytes: int) -> DataFrame:
     """``rows`` (any columns, doc_id and text among them) and last the starts of their repeated windows."""
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     id_, version, at = (unused(rows.columns, name) for name in ("_id", "_version", "_at"))
-    starts = repeated_windows(narrow, width, check_bytes).select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("at").alias(at))
+    starts = repeated_windows(narrow, buckets, width, check_bytes).select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("at").alias(at))
     keyed = rows.withColumns({id_: F.col("doc_id").cast("long"), version: F.xxhash64(F.col("text").cast("string"))})
     return keyed.join(starts, [id_, version], "left").select(*rows.columns, at)
 
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) ->
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    met = _with_starts(docs.select("doc_id", "text"), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "_at")
+    met = _with_starts(docs.select("doc_id", "text"), partition_count(docs, BUCKET_BYTES), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "_at")
     return met.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -332,7 +333,7 @@ def keep_first_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1
     A text that loses words becomes its kept words joined by one space, ``n_chars`` (if there is one) their length; a
     document that loses all its words goes.  Other texts stay as they are.
     """
-    met = _with_starts(docs, width, check_bytes)
+    met = _with_starts(docs, partition_count(docs, BUCKET_BYTES), width, check_bytes)
     schema, text = docs.schema, docs.columns.index("text")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
