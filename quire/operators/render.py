@@ -54,20 +54,20 @@ def outlines(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(_lines(["ord", "section_id"], line).alias("body")).select("doc_id", F.concat(F.lit("# "), "doc_id", F.lit("\n\n"), "body", F.lit("\n")).alias("content"))
 
 
-def wiki_link() -> Column:
+def concept_link() -> Column:
     return F.concat(F.lit("[["), "slug", F.lit("|"), F.replace("title", F.lit("|"), F.lit("/")), F.lit("]]"))
 
 
 def linked_section_pages(sections: DataFrame, concepts: DataFrame) -> DataFrame:
     """Section pages with links to the concepts (doc_id, slug, title, section_ids) that they mention, by slug."""
-    links = concepts.select("doc_id", F.explode("section_ids").alias("section_id"), "slug", wiki_link().alias("link")).groupBy("doc_id", "section_id").agg(_lines(["slug"], F.concat(F.lit("- "), "link")).alias("links"))
+    links = concepts.select("doc_id", F.explode("section_ids").alias("section_id"), "slug", concept_link().alias("link")).groupBy("doc_id", "section_id").agg(_lines(["slug"], F.concat(F.lit("- "), "link")).alias("links"))
     linked = F.when(F.col("links").isNotNull(), F.concat(F.lit("\n## Linked concepts\n\n"), "links", F.lit("\n"))).otherwise("")
     return section_pages(sections).join(links, ["doc_id", "section_id"], "left").select("doc_id", "section_id", F.concat("content", linked).alias("content"))
 
 
 def book_indexes(sections: DataFrame, concepts: DataFrame) -> DataFrame:
     """(doc_id, content): the outline and the book's concepts in rank order."""
-    line = F.concat(F.lit("- "), wiki_link(), F.lit(" ("), F.size("section_ids").cast("string"), F.lit(" sections)"))
+    line = F.concat(F.lit("- "), concept_link(), F.lit(" ("), F.size("section_ids").cast("string"), F.lit(" sections)"))
     listed = concepts.groupBy("doc_id").agg(_lines(["position"], line).alias("listed"))
     met = outlines(sections).join(listed, "doc_id", "left")
     return met.select("doc_id", F.concat(F.rtrim(F.regexp_replace("content", r"\s+\z", "")), F.lit("\n\n## Concepts\n\n"), F.coalesce("listed", F.lit("No concepts extracted.")), F.lit("\n")).alias("content"))

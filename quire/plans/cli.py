@@ -56,10 +56,10 @@ def parser() -> argparse.ArgumentParser:
 
 def parsed_blocks(spark: SparkSession, source: str, parser_name: str | None = None, doc_id: str | None = None) -> DataFrame:
     """Blocks of the files at ``source`` (a path or glob)."""
-    name = parser_name or {"converted": "html"}.get(parser_for(source), parser_for(source))
-    texts = spark.read.text(source, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_path"))
-    texts = texts.withColumn("doc_id", F.lit(doc_id) if doc_id else doc_id_from_name(F.url_decode("source_path")))
-    rows = {"markdown": texts, "html": texts.withColumnRenamed("text", "html"), "layout-json": texts.withColumnRenamed("text", "json")}[name]
+    name = parser_name or parser_for(source)
+    files = spark.read.format("binaryFile").load(source).select("path", "content", F.decode("content", "utf-8").alias("text"), F.col("path").alias("source_path"))
+    files = files.withColumn("doc_id", F.lit(doc_id) if doc_id else doc_id_from_name(F.url_decode("path")))
+    rows = {"html": files.withColumnRenamed("text", "html"), "layout-json": files.withColumnRenamed("text", "json")}.get(name, files)
     blocks = plugins.parsers().get(name)(rows)
     title = blocks.where((F.col("type") == "title") & (F.col("level") == 1)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("doc_title"))
     return blocks.join(title, "doc_id", "left").withColumn("doc_title", F.coalesce("doc_title", "doc_id"))

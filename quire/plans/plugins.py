@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 
 from quire.operators import render, segment
-from quire.sources import html, layout, markdown
+from quire.sources import converted, html, layout, markdown
 
 
 class Registry:
@@ -39,7 +39,7 @@ def _registry(**parts: Callable[..., DataFrame]) -> Registry:
 
 
 def parsers() -> Registry:
-    return _registry(markdown=markdown.markdown_blocks, layout_json=layout.layout_blocks, html=html.html_blocks)
+    return _registry(markdown=markdown.markdown_blocks, layout_json=layout.layout_blocks, html=html.html_blocks, converted=converted.converted_blocks)
 
 
 def segmenters() -> Registry:
