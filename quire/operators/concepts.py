@@ -37,32 +37,38 @@ def long_tokens(text: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= LEAST_TOKEN) & ~F.lower(t).isin(*STOPWORDS))
 
 
-def candidates(sections: DataFrame) -> DataFrame:
-    """(doc_id, section_id, ord, rank, candidate): a section's headings, title, phrases and long tokens, in that order."""
+def _all_candidates() -> Column:
+    """A section's headings, title, phrases and long tokens, in that order."""
     text = F.coalesce("text", F.lit(""))
-    all_ = F.concat(F.coalesce("heading_path", F.array().cast("array<string>")), F.array(F.coalesce("title", F.lit(""))), title_case_phrases(text), long_tokens(text))
-    return sections.select("doc_id", "section_id", "ord", F.posexplode(all_).alias("rank", "candidate"))
+    return F.concat(F.coalesce("heading_path", F.array().cast("array<string>")), F.array(F.coalesce("title", F.lit(""))), title_case_phrases(text), long_tokens(text))
+
+
+def candidates(sections: DataFrame) -> DataFrame:
+    """(doc_id, section_id, ord, rank, candidate) of every section."""
+    return sections.select("doc_id", "section_id", "ord", F.posexplode(_all_candidates()).alias("rank", "candidate"))
 
 
 def _kept_keys(sections: DataFrame) -> DataFrame:
-    """(doc_id, section_id, ord, key, rank, candidate): the first candidate of each key in each section."""
-    key = F.lower("candidate")
-    found = candidates(sections).withColumn("key", key).where((F.length("key") >= LEAST_KEY) & ~F.col("key").isin(*STOPWORDS))
-    return found.groupBy("doc_id", "section_id", "ord", "key").agg(F.min(F.struct("rank", "candidate")).alias("first")).select("doc_id", "section_id", "ord", "key", "first.rank", "first.candidate")
+    """(doc_id, section_id, ord, key, rank): each key of each section, with the place of its first candidate."""
+    found = candidates(sections).withColumn("key", F.lower("candidate")).where((F.length("key") >= LEAST_KEY) & ~F.col("key").isin(*STOPWORDS))
+    return found.groupBy("doc_id", "section_id", "ord", "key").agg(F.min("rank").alias("rank"))
 
 
 def extract_concepts(sections: DataFrame, max_concepts: int = MAX_CONCEPTS) -> DataFrame:
     """(doc_id, position, slug, title, section_ids): up to ``max_concepts`` keys of each book, equal slugs merged.
 
     Keys rank by the number of sections, then lower-case title, then key; a concept takes the title and place of its
-    first key, and lists sections in the order of its keys and of reading.
+    first key, and lists sections in the order of its keys and of reading.  The lower-case title is that of the key, so
+    only the keys that are kept need their first spelling looked up.
     """
-    keys = _kept_keys(sections)
-    per_key = keys.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "rank", "candidate")).alias("first"), F.array_sort(F.collect_list(F.struct("ord", "section_id"))).alias("at"))
-    per_key = per_key.withColumn("title", display_title(F.col("first.candidate")))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.lower("title"), "key")
-    ranked = per_key.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_concepts).withColumn("slug", slugify(F.col("title")))
-    merged = ranked.groupBy("doc_id", "slug").agg(F.array_sort(F.collect_list(F.struct("place", "title", "at"))).alias("all"))
+    per_key = _kept_keys(sections).groupBy("doc_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"), F.min_by("rank", "ord").alias("rank"), F.array_sort(F.collect_list(F.struct("ord", "section_id"))).alias("at")
+    )
+    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.lower(display_title(F.col("key"))), "key")
+    ranked = per_key.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_concepts)
+    spelled = sections.select("doc_id", "ord", _all_candidates().alias("_all")).join(ranked, ["doc_id", "ord"])
+    titled = spelled.withColumn("title", display_title(F.element_at("_all", F.col("rank") + 1))).withColumn("slug", slugify(F.col("title")))
+    merged = titled.groupBy("doc_id", "slug").agg(F.array_sort(F.collect_list(F.struct("place", "title", "at"))).alias("all"))
     ids = F.array_distinct(F.flatten(F.transform("all", lambda x: F.transform(x["at"], lambda y: y["section_id"]))))
     return merged.select("doc_id", F.col("all")[0]["place"].alias("position"), "slug", F.col("all")[0]["title"].alias("title"), ids.alias("section_ids"))
 
@@ -127,6 +133,7 @@ def detailed_mentions(mentions: DataFrame, sections: DataFrame, annotations: Dat
 
 
 def section_concepts(mentions: DataFrame, doc_id: str, section_id: str) -> DataFrame:
-    """Nodes of one section's concepts, best known first."""
-    own = mentions.where((F.col("doc_id") == doc_id) & (F.col("section_id") == section_id)).select("slug").distinct()
-    return ranked_nodes(concept_nodes(mentions.join(own, "slug", "left_semi")))
+    """Nodes of one section's concepts, best known first: one pass over the mentions."""
+    own = F.bool_or((F.col("doc_id") == doc_id) & (F.col("section_id") == section_id))
+    nodes = mentions.groupBy("slug").agg(F.min("title").alias("title"), F.count_distinct("doc_id").alias("doc_count"), F.count(F.lit(1)).alias("mention_count"), own.alias("_own"))
+    return ranked_nodes(nodes.where("_own").drop("_own"))

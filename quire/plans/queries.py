@@ -82,9 +82,9 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.drop_dangling(broken).select("section_id", "prev_id", "next_id")
 
 
-def _flat(sections: DataFrame) -> DataFrame:
+def _flat(sections: DataFrame, *more: str) -> DataFrame:
     return sections.select(
-        "doc_id", "ord", "section_id", "title", "level", F.array_join("heading_path", " / ").alias("heading_path"), "page_start", "page_end", "text", F.array_join("block_ids", ",").alias("block_ids"), "prev_id", "next_id"
+        "doc_id", "ord", "section_id", "title", "level", F.array_join("heading_path", " / ").alias("heading_path"), "page_start", "page_end", "text", F.array_join("block_ids", ",").alias("block_ids"), "prev_id", "next_id", *more
     )
 
 
@@ -97,8 +97,7 @@ def segment_bookmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_token_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = segment.by_token_budget(views.v_line_blocks(spark, sf_dir), 200)
-    return _flat(parts).join(parts.select("section_id", "token_count"), "section_id")
+    return _flat(segment.by_token_budget(views.v_line_blocks(spark, sf_dir), 200), "token_count")
 
 
 def block_page_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +209,7 @@ def render_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_concept_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = list_documents(spark, sf_dir).select("doc_id", F.col("title").alias("book_title"))
-    return render.concept_pages(concepts.concept_nodes(_merged(spark, sf_dir)), _detailed(spark, sf_dir), titles)
+    return render.concept_pages(_detailed(spark, sf_dir), titles)
 
 
 def bridge_changed(spark: SparkSession, sf_dir: str) -> DataFrame:

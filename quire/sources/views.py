@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 CONCEPT = "struct<slug:string,title:string,gloss:string>"
 
 
+#: A scan task's share of an input that has fewer files than the cluster has cores.
+SMALL_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; one of few small files, which few tasks would scan, is spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if files < cores and 1 << 20 < size < cores * SMALL_BYTES else df
 
 
 def _book() -> F.Column:
