@@ -12,7 +12,6 @@ results; a null doc_id is not held out; columns other than doc_id, text and lang
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ BITS = 14
 MOST = 4000
 #: Under it a document's language counts as not identified.
 LEAST_SCORE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -67,7 +65,7 @@ class Model:
         return z / z.sum()
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         p = self.probabilities(text)
         best = int(p.argmax())
