@@ -14,9 +14,9 @@ ANNOTATION = "doc_id string, section_id string, concepts array<struct<slug:strin
 MANIFEST = "book_id string, title string, source_type string, source_path string, pdf struct<title:string,author:string,pages:int,bookmarks:array<struct<title:string,page_index:string,level:string>>>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks (doc_id, doc_title, ord, id, type, ...) of JSON documents, one a file."""
-    docs = spark.read.schema(DOCUMENT).json(path, multiLine=True, mode="FAILFAST")
+def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Blocks (doc_id, doc_title, ord, id, type, ...) of JSON documents, one a file or, as ``write_documents`` has them, one a line."""
+    docs = spark.read.schema(DOCUMENT).json(path, multiLine=one_per_file, mode="FAILFAST")
     blocks = docs.select("doc_id", F.col("title").alias("doc_title"), F.posexplode("blocks").alias("ord", "b"))
     return blocks.select("doc_id", "doc_title", "ord", "b.id", "b.type", F.coalesce("b.text", F.lit("")).alias("text"), "b.level", "b.page_idx", "b.bbox", "b.asset_path", "b.source_path", F.coalesce("b.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
@@ -30,7 +30,7 @@ def write_documents(blocks: DataFrame, path: str) -> None:
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of JSONL manifests; ``ord`` follows the links of reading order, which the rows carry."""
+    """Sections of JSONL manifests; ``ord`` grows with the place of a row in its file."""
     rows = spark.read.schema(SECTION).json(path, mode="FAILFAST").where("id IS NOT NULL")
     return rows.withColumnRenamed("id", "section_id").withColumn("ord", F.monotonically_increasing_id())
 
