@@ -245,5 +245,7 @@ SELECT plan_id, plan_id AS doc_id, coalesce(completed, 0) AS completed, total, c
     || CASE WHEN source = 'agent' THEN ' (agent-verified)' ELSE '' END || CASE WHEN summary <> '' THEN chr(10) || '  > ' || summary ELSE '' END, chr(10) ORDER BY ord, section_id) AS part FROM detailed JOIN books USING (doc_id) GROUP BY slug, doc_id, book_title)
 SELECT slug, '# ' || title || chr(10) || chr(10) || 'Mentioned in ' || CAST(doc_count AS VARCHAR) || CASE WHEN doc_count = 1 THEN ' book' ELSE ' books' END || ' · ' || CAST(mention_count AS VARCHAR) || CASE WHEN mention_count = 1 THEN ' section.' ELSE ' sections.' END
   || chr(10) || body || chr(10) AS content FROM nodes JOIN (SELECT slug, string_agg(part, chr(10) ORDER BY doc_id) AS body FROM parts GROUP BY slug) USING (slug)""",
+    "layout_blocks": f"""SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'p' || CAST(turn // 2 AS VARCHAR) || '.b' || CAST(row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) - 1 AS VARCHAR) AS id,
+  CASE role WHEN 'assistant' THEN 'text' WHEN 'system' THEN 'equation' ELSE 'title' END AS type, {_strip("text")} AS text, CASE WHEN role NOT IN ('assistant', 'system') THEN 1 END AS level, CAST(turn // 2 AS INTEGER) AS page_idx FROM conversations""",
     "bridge_changed": f"WITH RECURSIVE {HEADING} SELECT section_id, section_id || '.md' AS name, level <> 2 OR page_start = 0 AS changed FROM linked",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import slugify, snippet, terms, token_count
 from quire.operators import assets, concepts, graph, plans, render, search, segment, validation
-from quire.sources import views
+from quire.sources import html, layout, markdown, views
 
 QUERY, SCOPE_QUERY, CONCEPT = "Ering onti été queue", "thti erly", "thtion"
 
@@ -223,12 +223,32 @@ def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).select("section_id", F.array_join(terms(F.col("title")), " ").alias("terms"))
 
 
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as layout JSON, two turns a page, and read back."""
+    turns = views.table(spark, sf_dir, "conversations").withColumn("page", F.floor(F.col("turn") / 2).cast("int"))
+    block = F.struct(F.when(F.col("role") == "assistant", "text").when(F.col("role") == "system", "interline_equation").otherwise("title").alias("type"), F.array(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("spans"))).alias("lines"))
+    pages = turns.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("x"))
+    pages = pages.select("conv_id", F.struct(F.col("page").alias("page_idx"), F.transform("x", lambda x: x["b"]).alias("para_blocks")).alias("p"))
+    docs = pages.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list("p")).alias("pdf_info"))).alias("json"))
+    return layout.layout_blocks(docs).select("doc_id", "id", "type", "text", "level", "page_idx")
+
+
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")
+    return html.html_blocks(pages).select("doc_id", "ord", "id", "type", "text", "level")
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(None).cast("string").alias("source_path"))
+    return markdown.markdown_blocks(docs).select("doc_id", "ord", "id", "type", "text", "level")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fts_bm25_topk, fts_bm25_scoped, scan_tf_search, search_union_indexed_scan, search_snippet, tokenize_terms, folded_terms, slugify_titles, unique_slugs, section_prev_next, section_outline, section_children, section_related,
         dangling_links, segment_heading, segment_bookmark, segment_token_page, block_page_range_join, token_counts, concept_candidates, title_case_phrases, concepts_top50, concept_mentions_merged, concept_nodes, concept_mentions_of,
         section_concepts, concepts_bulk, annotated_mention_count, annotation_dedup, stale_annotations, plan_next_batch, plan_progress, plan_mark_read, list_documents, catalog_counts, duplicate_ids, unsafe_ids, section_assets,
-        render_section_md, render_outline, render_concept_page, bridge_changed,
+        render_section_md, render_outline, render_concept_page, bridge_changed, layout_blocks, html_blocks, markdown_blocks,
     )
 }
