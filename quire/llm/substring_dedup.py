@@ -36,8 +36,8 @@ from quire.llm.common import partition_count, partition_keys, table, unused
 WIDTH = 50
 #: Words that a scan task hashes at once.
 CHUNK_WORDS = 1_000_000
-#: Bytes of the input's files whose windows make up a bucket, some three million windows.
-BUCKET_BYTES = 12_000_000
+#: Bytes of the input's files whose windows make up a bucket, some two million windows.
+BUCKET_BYTES = 8_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary())])
 _HITS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 _BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -221,7 +221,7 @@ def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, ke
         spread = np.concatenate([[0], np.cumsum(lengths)])
         x = unpack_ascending(packed)
         nth = np.searchsorted(spread, x, "right") - 1
-        doc_ids.append(ids), versions.append(version), owners.append(nth + base), places.append(x - spread[nth])
+        doc_ids.append(ids), versions.append(version), owners.append((nth + base).astype(np.int32)), places.append((x - spread[nth]).astype(np.int32))
         base += len(ids)
     ids, version, owner, place = (np.concatenate(x) for x in (doc_ids, versions, owners, places))
     hashes = np.concatenate([_from_low_bytes(b[1]) for b in blobs])
