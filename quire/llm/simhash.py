@@ -206,17 +206,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return links.groupBy(F.col("hi").alias("fp")).agg(F.min("lo").alias("label")).unionByName(links.select(F.col("lo").alias("fp"), F.col("lo").alias("label")).distinct())
 
 
-def _component_of_nodes(fps: DataFrame, budget: int) -> DataFrame:
-    """(fp, copies, first): per distinct fingerprint its rows, and the first row of its component."""
+def nodes_of(fps: DataFrame) -> DataFrame:
+    """(fp, first, copies): the distinct ``fp`` of (doc_id, version, fp), the first row and the number of rows of each."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
-    nodes = materialize(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
-    labels = components(near_links(nodes, budget))
+    return materialize(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+
+
+def first_of_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fp, copies, first): per node its rows, and the first row of its component; ``labels`` (fp, label) has the linked ones."""
     joined = nodes.join(labels, "fp")
     named = joined.groupBy("label").agg(F.min("first").alias("of_all"))
     linked = joined.select("fp", "label").join(named, "label").select("fp", "of_all")
     return nodes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("of_all", "first").alias("first"))
 
 
+def _component_of_nodes(fps: DataFrame, budget: int) -> DataFrame:
+    nodes = nodes_of(fps)
+    return first_of_components(nodes, components(near_links(nodes, budget)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
@@ -227,7 +235,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The row of the smallest doc_id of each component of ``docs`` (any columns, doc_id and text among them)."""
-    first = _component_of_nodes(materialize(fingerprints(docs, shingle), "fingerprints"), budget)
+    return keep_first(docs, _component_of_nodes(materialize(fingerprints(docs, shingle), "fingerprints"), budget))
+
+
+def keep_first(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each distinct row that ``first`` (first: doc_id, version) names."""
     unnamed, id_, version = F.lit(-(2**63)), unused(docs.columns, "_id"), unused(docs.columns, "_version")
     chosen = first.select(F.coalesce("first.doc_id", unnamed).alias(id_), F.col("first.version").alias(version)).distinct()
     keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), unnamed), version: F.xxhash64(F.col("text").cast("string"))})
