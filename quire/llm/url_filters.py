@@ -2,9 +2,9 @@
 
 A url's verdict is its longest fitting rule's, else its host's.  A host's trust is its personalised PageRank from the
 hosts of allowed urls along links; its distrust is that from the hosts of blocked urls against links, as a host that
-links to blocked ones is not to be trusted.  Seeds are hosts with allowed, or blocked, urls for the most part, and weigh
-by that share, so a few blocked urls don't block a host.  A host is blocked if its distrust is over ``threshold``
-times its trust.  All of it is DataFrame operations: urls and links
+links to blocked ones is not to be trusted.  Every host with allowed, or blocked, urls is a seed and weighs by their
+share.  The distrust a seed starts with counts for the host itself only if that is over half, so a few blocked urls
+don't block a host, but those that link to it get their part.  A host is blocked if its distrust is over ``threshold`` times its trust.  All of it is DataFrame operations: urls and links
 become (host, host, count) rows, summed before they move, and ranks stay distributed; ``rounds`` power iterations with
 damping 0.85 leave less than 0.85^rounds of the mass to place.
 
@@ -69,12 +69,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(counted.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, own: DataFrame | None = None) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, mass) along ``edges`` (src, dst, weight).
 
     Rank is the damped sum over rounds of the mass walked so far; mass that stands on a host without links ends there.
+    ``own``: the seeds that what they start with counts for, all by default.
     """
-    walked, ranks = seeds.select("host", "mass"), [seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))]
+    walked, ranks = seeds.select("host", "mass"), [(seeds if own is None else own).select("host", (F.col("mass") * (1 - damping)).alias("rank"))]
     for _ in range(rounds):
         step = edges.join(walked, edges["src"] == walked["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("weight")) * damping).alias("mass"))
         walked = materialize(step, "ranks")
@@ -94,9 +95,9 @@ def host_trust(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS)
     edges = materialize(host_edges(pages), "edges")
     back = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
     reversed_ = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("weight"))
-    seeds = lambda verdict: counts.where(f"2 * {verdict} > n").select("host", (F.col(verdict) / F.col("n")).alias("mass"))
-    trust = propagate(edges, seeds("allow"), damping, rounds).select("host", F.col("rank").alias("trust"))
-    distrust = propagate(reversed_, seeds("block"), damping, rounds).select("host", F.col("rank").alias("distrust"))
+    seeds = lambda verdict, which: counts.where(which).select("host", (F.col(verdict) / F.col("n")).alias("mass"))
+    trust = propagate(edges, seeds("allow", "allow > 0"), damping, rounds).select("host", F.col("rank").alias("trust"))
+    distrust = propagate(reversed_, seeds("block", "block > 0"), damping, rounds, seeds("block", "2 * block > n")).select("host", F.col("rank").alias("distrust"))
     both = trust.join(distrust, "host", "full")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

@@ -61,6 +61,19 @@ def test_sql_agrees_on_linked_pages(spark, tmp_path):
     assert_same(u.op9_url_filters(spark, str(tmp_path)), duck, u.OP9_SQL)
 
 
+def test_hosts_of_few_blocked_or_allowed_urls_are_seeds(spark):
+    pages = [
+        *((i, f"http://mixed.net/{i}", "") for i in range(1, 10)), (10, "http://mixed.net/es/", ""), (11, "http://fan.org/", links("http://mixed.net/")), (12, "http://fanfan.org/", links("http://fan.org/")),
+        *((i, f"http://part.com{'/' if i == 20 else '?'}{i}", links("http://both.org/")) for i in range(20, 24)), (30, "http://both.org/", links("http://mixed.net/")), (40, "http://alone.org/", links("http://part.com/")),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"] for r in u.judge(frame).collect() if r["verdict"] == "block"} == {10, 11, 12, 40}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in u.host_trust(u.with_rule(frame)).collect()}
+    assert np.allclose(got["part.com"][0], 0.15 * 0.25) and "mixed.net" not in {h for h, (_, d) in got.items() if d}
+    # Distrust of 0.1 goes back from mixed.net to fan.org and both.org by halves; trust of 0.25 from part.com to both.org.
+    assert np.allclose(got["fan.org"], (0, 0.15 * 0.1 * 0.85 / 2)) and np.allclose(got["both.org"], (0.15 * 0.25 * 0.85, 0.15 * 0.1 * 0.85 / 2))
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert u.judge(pages).count() == 0
