@@ -5,8 +5,8 @@ hosts of allowed urls along links; its distrust is that from the hosts of blocke
 links to blocked ones is not to be trusted.  Every host with allowed, or blocked, urls is a seed and weighs by their
 share.  The distrust a seed starts with counts for the host itself only if that is over half, so a few blocked urls
 don't block a host, but those that link to it get their part.  A host is blocked if its distrust is over ``threshold`` times its trust.  All of it is DataFrame operations: urls and links
-become (host, host, count) rows, summed before they move, and ranks stay distributed; ``rounds`` power iterations with
-damping 0.85 leave less than 0.85^rounds of the mass to place.
+become (host, host, count) rows, summed before they move, and ranks stay distributed; power iterations go on until the
+rank that is still to place on all hosts together is under ``REST``, a tenth of what ``judge`` tells apart.
 
 Defined results: a url that is null or has no ``://`` has host and path '' and no rule; a host without links or seeds
 has neither trust nor distrust and is allowed; links of a host to itself, to no host, and links in null html count
@@ -17,6 +17,8 @@ html are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import join_skewed, materialize, table
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 1.0
+#: Rank that may be left to place, a tenth of the 1e-9 that distrust has to be over trust for a block.
+REST = 1e-10
+#: Rounds whose ranks are summed up and written at once.
+FOLD = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,26 +75,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(counted.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, own: DataFrame | None = None) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, own: DataFrame | None = None) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, mass) along ``edges`` (src, dst, weight).
 
     Rank is the damped sum over rounds of the mass walked so far; mass that stands on a host without links ends there.
+    ``rounds``: None goes on until less than ``REST`` is left to place, for a ``damping`` under 1.
     ``own``: the seeds that what they start with counts for, all by default.
     """
     walked, ranks = seeds.select("host", "mass"), [(seeds if own is None else own).select("host", (F.col("mass") * (1 - damping)).alias("rank"))]
-    for _ in range(rounds):
+    total = lambda: reduce(DataFrame.unionByName, ranks).groupBy("host").agg(F.sum("rank").alias("rank"))
+    for _ in count() if rounds is None else range(rounds):
         step = edges.join(walked, edges["src"] == walked["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("weight")) * damping).alias("mass"))
         walked = materialize(step, "ranks")
-        if walked.isEmpty():
+        left = walked.agg(F.sum("mass")).first()[0]
+        if left is None:
             break
         ranks.append(walked.select("host", (F.col("mass") * (1 - damping)).alias("rank")))
-    out = ranks[0]
-    for more in ranks[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("host").agg(F.sum("rank").alias("rank"))
+        if rounds is None and left * damping < REST:
+            break
+        if len(ranks) > FOLD:
+            ranks = [materialize(total(), "ranks")]
+    return total()
 
 
-def host_trust(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_trust(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) of all hosts with either; ``pages`` has host, html and rule_verdict."""
     counts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("allow"), F.count_if(F.col("rule_verdict") == "block").alias("block"))
     counts = materialize(counts, "seeds")
@@ -102,7 +112,7 @@ def host_trust(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS)
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict."""
     ruled = with_rule(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), rules)
     blocked = host_trust(ruled, damping, rounds).where(F.col("distrust") > threshold * F.col("trust") + 1e-9).select("host", F.lit("block").alias("host_verdict"))

@@ -74,6 +74,19 @@ def test_hosts_of_few_blocked_or_allowed_urls_are_seeds(spark):
     assert np.allclose(got["fan.org"], (0, 0.15 * 0.1 * 0.85 / 2)) and np.allclose(got["both.org"], (0.15 * 0.25 * 0.85, 0.15 * 0.1 * 0.85 / 2))
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    chain = [(0, "http://bad.net/es/", ""), *((i, f"http://h{i}.org/", links(f"http://h{i - 1}.org/" if i > 1 else "http://bad.net/es/")) for i in range(1, 15))]
+    assert {r["verdict"] for r in u.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()} == {"block"}
+
+
+def test_cycle_matches_exact_solution(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("b", "a", 0.5), ("c", "a", 1.0)], "src string, dst string, weight double")
+    m = np.array([[0, 1, 0], [0.5, 0, 0.5], [1, 0, 0]])
+    want = 0.15 * np.array([1, 0, 0.5]) @ np.linalg.inv(np.eye(3) - 0.85 * m)
+    got = {r["host"]: r["rank"] for r in u.propagate(edges, spark.createDataFrame([("a", 1.0), ("c", 0.5)], "host string, mass double"), rounds=None).collect()}
+    assert np.allclose([got[h] for h in "abc"], want, rtol=0, atol=1e-9)
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert u.judge(pages).count() == 0
