@@ -8,8 +8,8 @@ from helpers import DATA
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_decontamination import plain_matches
+from test_minhash import plain_components, plain_sets
 from test_packing import hf, plain_bfd
-from test_simhash import plain_components, plain_fingerprint
 from test_substring_dedup import plain
 
 import corpus_pipeline
@@ -26,7 +26,7 @@ def test_stages_match_plain_versions_one_after_another(spark):
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == told and len(told) > 0.98 * docs.count()
 
     rows = sorted((r["doc_id"], r["text"]) for r in one.collect())
-    of = plain_components([plain_fingerprint(t) for _, t in rows])
+    of = plain_components(plain_sets([t for _, t in rows]))
     rows = [r for i, r in enumerate(rows) if of[i] == i]
     two = stages["simhash_near_dedup"](spark, one, DATA)
     assert two.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in two.collect()) == rows
