@@ -6,25 +6,52 @@ once; a document's blocks are the unit that windows and folds work in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import slugify, strip, token_count
+from quire.operators.fold import fold_ordered
+
 
-MAX_LEVEL = 6
 _TEXT_TYPES = ("title", "text", "list", "table", "equation", "unknown")
 
 
+def _free_names() -> Callable[[object, str], str]:
+    """Names of a family's rows in order: the slug itself, else the first of slug-2, slug-3, ... that no row before has."""
+    used: set[str] = set()
+    following: dict[str, int] = {}
+
+    def name(_: object, slug: str) -> str:
+        found = slug
+        if slug in used:
+            k = following.get(slug, 2)
+            while (found := f"{slug}-{k}") in used:
+                k += 1
+            following[slug] = k + 1
+        used.add(found)
+        return found
+
+    return name
+
+
 def unique_slugs(rows: DataFrame, order: str = "nr") -> DataFrame:
     """Adds ``slug`` to (doc_id, ``order``, title): unique in the document, in order.
 
-    The slug of the title, else the first of slug-2, slug-3, ... that no row before has, made-up ones included.
+    The slug of the title, else the first of slug-2, slug-3, ... that no row before has, made-up ones included.  Made-up
+    names only meet slugs that are the same without numbers at the end, so each such family is named by itself: by
+    counting where it has one slug or none twice, else by a fold.
     """
-    free = "filter(transform(sequence(2, size(used) + 2), i -> concat(x.slug, '-', i)), n -> NOT array_contains(used, n))[0]"
-    fold = F.expr(f"aggregate(rows, cast(array() AS array<string>), (used, x) -> concat(used, array(CASE WHEN array_contains(used, x.slug) THEN {free} ELSE x.slug END)))")
-    per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("nr"), slugify(F.col("title")).alias("slug")))).alias("rows"))
-    named = per_doc.select("doc_id", F.explode(F.arrays_zip(F.col("rows.nr").alias("nr"), fold.alias("slug"))).alias("x")).select("doc_id", F.col("x.nr").alias(order), F.col("x.slug").alias("slug"))
-    return rows.join(named, ["doc_id", order])
+    named = rows.select("doc_id", F.col(order).alias("_nr"), slugify(F.col("title")).alias("_slug")).withColumn("_family", F.regexp_replace("_slug", r"(-[0-9]+)+$", ""))
+    slugs = named.groupBy("doc_id", "_family", "_slug").agg(F.count(F.lit(1)).alias("n"))
+    clashing = slugs.groupBy("doc_id", "_family").agg(F.count(F.lit(1)).alias("_slugs"), F.max("n").alias("_most")).where("_slugs > 1 AND _most > 1").select("doc_id", "_family")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_slug").orderBy("_nr"))
+    counted = named.join(clashing, ["doc_id", "_family"], "left_anti").withColumn("_nth", nth)
+    counted = counted.select("doc_id", "_nr", F.when(F.col("_nth") == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", "_nth")).alias("slug"))
+    folded = fold_ordered(named.join(clashing, ["doc_id", "_family"], "left_semi").select("doc_id", "_family", "_nr", "_slug"), ["doc_id", "_family"], ["_nr"], _free_names, "slug", "string")
+    both = counted.unionByName(folded.select("doc_id", "_nr", "slug")).withColumnRenamed("_nr", order)
+    return rows.join(both, ["doc_id", order])
 
 
 def _body(include_titles: bool) -> Column:
@@ -51,24 +78,25 @@ def by_heading(blocks: DataFrame, target_level: int = 2) -> DataFrame:
 
     A section's path are the titles above it that none of the same or a smaller level has ended; titles deeper than
     the target stay in block_ids but not in the text.  page_end is the page before the next section's first page, even
-    if that is before page_start.
+    if that is before page_start.  There is a running value for each level that the titles have.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_title = F.col("type") == "title"
-    level = F.least(F.when(F.coalesce("level", F.lit(0)) == 0, 1).otherwise(F.col("level")), F.lit(MAX_LEVEL))
+    level = F.when(F.coalesce("level", F.lit(0)) == 0, 1).otherwise(F.col("level"))
+    levels = sorted(r[0] for r in blocks.where(is_title).select(level).distinct().collect())  # as many rows as titles nest deep
     rows = blocks.withColumns({"_title": is_title, "_level": F.when(is_title, level)}).withColumn("_opens", (F.row_number().over(order) == 1) | (F.col("_title") & (F.col("_level") <= target_level)))
-    last = {k: F.last(F.when(F.col("_level") == k, F.struct("ord", "text")), ignorenulls=True).over(upto) for k in range(1, MAX_LEVEL + 1)}
+    last = {k: F.last(F.when(F.col("_level") == k, F.struct("ord", "text")), ignorenulls=True).over(upto) for k in levels}
     rows = rows.withColumns({"_nr": F.sum(F.col("_opens").cast("int")).over(upto) - 1} | {f"_h{k}": c for k, c in last.items()})
 
     def on_path(k: int) -> Column:
-        above = [F.col(f"_h{j}").isNull() | (F.col(f"_h{j}.ord") < F.col(f"_h{k}.ord")) for j in range(1, k)]
+        above = [F.col(f"_h{j}").isNull() | (F.col(f"_h{j}.ord") < F.col(f"_h{k}.ord")) for j in levels if j < k]
         kept = F.col(f"_h{k}").isNotNull() & (F.col("_level") >= k)
         for condition in above:
             kept = kept & condition
         return F.when(kept, F.col(f"_h{k}.text"))
 
-    path = F.filter(F.array(*(on_path(k) for k in range(1, MAX_LEVEL + 1))), lambda t: t.isNotNull())
+    path = F.filter(F.array(*(on_path(k) for k in levels), F.lit(None).cast("string")), lambda t: t.isNotNull())
     front = F.concat(F.col("doc_title"), F.lit(" — Front Matter"))
     head = F.when(
         F.col("_opens"),
@@ -129,25 +157,34 @@ def segmentable(blocks: DataFrame) -> DataFrame:
 def by_token_budget(blocks: DataFrame, max_tokens: int = 800) -> DataFrame:
     """Parts of at most ``max_tokens`` white-space tokens that never split a page; a larger page is a part of its own.
 
-    Pages are summed first; the greedy packing is one fold over a document's pages.  Blocks without a page are pages
-    of their own.
+    Only tokens are windowed, summed by page and folded into parts; texts meet the first block of each part by an as-of
+    merge, so they move once.  Blocks without a page are pages of their own.
     """
     if max_tokens < 1:
         raise ValueError("max_tokens must be at least 1")
     order = Window.partitionBy("doc_id").orderBy("ord")
     page, before = F.col("page_idx"), F.lag("page_idx").over(order)
     starts = F.when(page.isNull() | before.isNull() | (page != before), 1).otherwise(0)
-    rows = segmentable(blocks).withColumn("tokens", token_count(F.coalesce("text", F.lit("")))).withColumn("_starts", starts)
+    kept = segmentable(blocks).withColumn("tokens", token_count(F.coalesce("text", F.lit(""))))
+    rows = kept.select("doc_id", F.col("ord").cast("long").alias("ord"), "page_idx", "tokens").withColumn("_starts", starts)
     rows = rows.withColumn("g", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    pages = rows.groupBy("doc_id", "g").agg(F.sum("tokens").alias("n"))
-    fold = F.expr(
-        f"""aggregate(pages, named_struct('sum', 0L, 'part', 0, 'out', cast(array() AS array<int>)),
-            (s, x) -> CASE WHEN s.part > 0 AND s.sum + x.n <= {max_tokens} THEN named_struct('sum', s.sum + x.n, 'part', s.part, 'out', concat(s.out, array(s.part)))
-                      ELSE named_struct('sum', x.n, 'part', s.part + 1, 'out', concat(s.out, array(s.part + 1))) END, s -> s.out)"""
-    )
-    parts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("pages"))
-    parts = parts.select("doc_id", F.explode(F.arrays_zip(F.col("pages.g").alias("g"), fold.alias("part"))).alias("x")).select("doc_id", F.col("x.g").alias("g"), F.col("x.part").alias("part"))
-    cut = rows.join(parts, ["doc_id", "g"]).groupBy("doc_id", "part").agg(
+    pages = rows.groupBy("doc_id", "g").agg(F.min("ord").alias("ord"), F.sum("tokens").alias("n"))
+
+    def parts() -> Callable[[int, int, int], int]:
+        held = [0, 0]  # the part, and its tokens so far
+
+        def part_of(g: int, ord_: int, n: int) -> int:
+            held[:] = [held[0], held[1] + n] if held[0] and held[1] + n <= max_tokens else [held[0] + 1, n]
+            return held[0]
+
+        return part_of
+
+    first = fold_ordered(pages.select("doc_id", "g", "ord", "n"), ["doc_id"], ["g"], parts, "part", "int").groupBy("doc_id", "part").agg(F.min("ord").alias("_ord"))
+    first = first.select("doc_id", "_ord", F.lit(0).alias("_kind"), "part", F.lit(None).cast(kept.schema.simpleString()).alias("_block"))
+    merged = first.unionByName(kept.select("doc_id", F.col("ord").cast("long").alias("_ord"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("part"), F.struct(*kept.columns).alias("_block")))
+    upto = Window.partitionBy("doc_id").orderBy("_ord", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = merged.withColumn("_part", F.last("part", ignorenulls=True).over(upto)).where("_kind = 1").select("_block.*", F.col("_part").alias("part"))
+    cut = met.groupBy("doc_id", "part").agg(
         F.first("doc_title").alias("doc_title"), F.min("page_idx").alias("page_start"), F.max("page_idx").alias("page_end"), _body(include_titles=True).alias("text"), _block_ids().alias("block_ids"), F.sum("tokens").alias("token_count")
     )
     reading = Window.partitionBy("doc_id").orderBy("part")

@@ -9,12 +9,12 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 
 SECTIONS = """v_sections AS (
-  SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS doc_id, source || '-' || CAST(doc_id // 1000 AS VARCHAR) || '.d' || CAST(doc_id AS VARCHAR) AS section_id, doc_id AS ord,
+  SELECT source AS doc_id, source || '.d' || CAST(doc_id AS VARCHAR) AS section_id, doc_id AS ord,
          split_part(text, chr(10), 1) AS title, CAST(1 + doc_id % 3 AS INTEGER) AS level, text FROM documents
 )"""
 TURNS = """v_turns AS (
   SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS ord, 't' || CAST(turn AS VARCHAR) AS id, CASE WHEN role = 'assistant' THEN 'text' ELSE 'title' END AS type,
-         split_part(text, chr(10), 1) AS text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 END AS level, CAST(turn // 2 AS INTEGER) AS page_idx FROM conversations
+         text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 END AS level, CAST(turn // 2 AS INTEGER) AS page_idx FROM conversations
 )"""
 MARKS = """v_marks AS (
   SELECT doc_id, pos, title, page_index, level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, level, title, pos) - 1 AS INTEGER) AS nr FROM (
@@ -145,7 +145,7 @@ PARENTS = """parents AS (
     lag(section_id) OVER (PARTITION BY doc_id ORDER BY ord) AS prev_id, lead(section_id) OVER (PARTITION BY doc_id ORDER BY ord) AS next_id FROM v_sections s
 )"""
 
-_JSON = """replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't')"""
+_JSON = """replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"""
 
 
 def _json(x: str) -> str:
@@ -164,9 +164,9 @@ assert (QUERY, SCOPE_QUERY) == ("Ering onti été queue", "thti erly")
 
 ORACLE_SQL = {
     "fts_bm25_topk": f"WITH {SECTIONS}, {TOKENS} {_bm25(QUERY_TERMS, 'true', 10)}",
-    "fts_bm25_scoped": f"WITH {SECTIONS}, {TOKENS} {_bm25(SCOPE_TERMS, '''t.doc_id IN ('src1-0', 'src3-0', 'src5-0')''', 20)}",
+    "fts_bm25_scoped": f"WITH {SECTIONS}, {TOKENS} {_bm25(SCOPE_TERMS, '''t.doc_id IN ('src1', 'src3', 'src5')''', 20)}",
     "scan_tf_search": f"WITH {SECTIONS}, {TOKENS} {_tf(['onti', 'ering', 'onti'])}",
-    "search_union_indexed_scan": f"""WITH {SECTIONS}, {TOKENS}, known AS (SELECT * FROM tokens WHERE regexp_matches(doc_id, '^src[0-9]-')), other AS (SELECT * FROM tokens WHERE NOT regexp_matches(doc_id, '^src[0-9]-'))
+    "search_union_indexed_scan": f"""WITH {SECTIONS}, {TOKENS}, known AS (SELECT * FROM tokens WHERE regexp_matches(doc_id, '^src[0-9]$')), other AS (SELECT * FROM tokens WHERE NOT regexp_matches(doc_id, '^src[0-9]$'))
 SELECT * FROM (SELECT * FROM ({_bm25(SCOPE_TERMS, "true", 25, "known")}) UNION ALL SELECT * FROM ({_tf(SCOPE_TERMS, "other")} ORDER BY score DESC, doc_id, section_id LIMIT 25)) ORDER BY score DESC, doc_id, section_id LIMIT 25""",
     "search_snippet": f"""WITH {SECTIONS}, spots AS (SELECT section_id, text, list_min(list_filter([instr(lower(text), 'onti'), instr(lower(text), 'ering')], lambda p: p > 0)) AS p FROM v_sections)
 SELECT section_id, CASE WHEN p IS NULL THEN text[1:160] || CASE WHEN len(text) > 160 THEN '…' ELSE '' END
@@ -220,7 +220,7 @@ SELECT t.doc_id, t.id, r.nr FROM v_turns t JOIN ranged r ON r.doc_id = t.doc_id
     "concept_mentions_merged": f"WITH {MERGED} SELECT * FROM mentions",
     "concept_nodes": f"WITH {MERGED} SELECT * FROM nodes",
     "concept_mentions_of": f"WITH {MERGED} SELECT slug, doc_id, section_id, section_title, gloss, source, summary FROM detailed WHERE slug = '{CONCEPT}'",
-    "section_concepts": f"WITH {MERGED} SELECT * FROM nodes WHERE slug IN (SELECT slug FROM mentions WHERE section_id = 'src1-0.d1')",
+    "section_concepts": f"WITH {MERGED} SELECT * FROM nodes WHERE slug IN (SELECT slug FROM mentions WHERE section_id = 'src1.d1')",
     "concepts_bulk": f"WITH {MERGED} SELECT slug, min(title) AS title, string_agg(section_id || '|' || section_title || '|' || gloss || '|' || source, chr(10) ORDER BY doc_id, ord, section_id) AS mentions FROM detailed GROUP BY slug",
     "annotated_mention_count": f"WITH {MERGED} SELECT slug, count(*) FILTER (summary <> '') AS annotated, count(*) AS mentions FROM detailed GROUP BY slug",
     "annotation_dedup": f"WITH {SECTIONS}, {ANNOTATIONS} SELECT section_id, {_slug('title')} AS slug, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, 'a gloss' AS gloss FROM v_sum WHERE lists",

@@ -29,7 +29,7 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_sections(spark, sf_dir), SCOPE_QUERY, 20, ["src1-0", "src3-0", "src5-0"]).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
+    return search.bm25(_sections(spark, sf_dir), SCOPE_QUERY, 20, ["src1", "src3", "src5"]).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
 
 
 def scan_tf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def scan_tf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_union_indexed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _sections(spark, sf_dir)
-    indexed = sections.where(F.col("doc_id").rlike("^src[0-9]-")).select("doc_id")
+    indexed = sections.where(F.col("doc_id").rlike("^src[0-9]$")).select("doc_id")
     return search.search(sections, SCOPE_QUERY, indexed, 25).select("doc_id", "section_id", "title", F.round("score", 6).alias("score"))
 
 
@@ -134,7 +134,7 @@ def concept_mentions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concepts.section_concepts(_merged(spark, sf_dir), "src1-0", "src1-0.d1")
+    return concepts.section_concepts(_merged(spark, sf_dir), "src1", "src1.d1")
 
 
 def concepts_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:

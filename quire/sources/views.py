@@ -1,7 +1,6 @@
 """The engine's frames made from the test tables: sections, blocks, bookmarks, annotations and reading plans.
 
-A book of ``v_sections`` takes the documents of one source among a thousand consecutive ids, so that no book grows
-with the corpus however large a source is.
+A book of ``v_sections`` is a source with all its documents.
 """
 
 from __future__ import annotations
@@ -24,16 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if files < cores and 1 << 20 < size < cores * SMALL_BYTES else df
 
 
-def _book() -> F.Column:
-    return F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
-
-
 def v_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, section_id, ord, title, level, heading_path, text: a section per document."""
     docs = table(spark, sf_dir, "documents")
     title = F.substring_index("text", "\n", 1)
     return docs.select(
-        _book().alias("doc_id"), F.concat(_book(), F.lit(".d"), F.col("doc_id").cast("string")).alias("section_id"), F.col("doc_id").alias("ord"), title.alias("title"),
+        F.col("source").alias("doc_id"), F.concat("source", F.lit(".d"), F.col("doc_id").cast("string")).alias("section_id"), F.col("doc_id").alias("ord"), title.alias("title"),
         (1 + F.col("doc_id") % 3).cast("int").alias("level"), F.array(title).alias("heading_path"), "text",
     )
 
@@ -47,18 +42,18 @@ def v_line_blocks(spark: SparkSession, sf_dir: str, paged: bool = True) -> DataF
 
 
 def v_turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block per conversation turn: system and user turns are titles of level 1 and 2, two turns a page."""
+    """A block per conversation turn, with its whole text: system and user turns are titles of level 1 and 2, two turns a page."""
     turns = table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "assistant", "text").otherwise("title")
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2)
     return turns.select(
-        F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.substring_index("text", "\n", 1).alias("text"),
+        F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), kind.alias("type"), "text",
         level.cast("int").alias("level"), F.floor(F.col("turn") / 2).cast("int").alias("page_idx"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("doc_title"),
     )
 
 
 def v_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bookmark per user turn."""
+    """A bookmark per user turn, labelled by its first line."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     return turns.select(
         F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("pos"), F.substring_index("text", "\n", 1).alias("title"), F.floor(F.col("turn") / 2).cast("int").alias("page_index"), (1 + F.col("turn") % 2).cast("int").alias("level")
@@ -71,7 +66,7 @@ def v_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.substring_index("text", "\n", 1)
     concepts = F.when(F.col("toxic") == 1, F.array().cast(f"array<{CONCEPT}>")).when(F.col("quality") == 0, F.array(F.struct(F.lit("").alias("slug"), title.alias("title"), F.lit("from label").alias("gloss"))))
     summary = F.when((F.col("toxic") == 0) & (F.col("quality") == 1), title).otherwise("")
-    return labels.select(_book().alias("doc_id"), F.concat(_book(), F.lit(".d"), F.col("doc_id").cast("string")).alias("section_id"), concepts.alias("concepts"), summary.alias("summary"))
+    return labels.select(F.col("source").alias("doc_id"), F.concat("source", F.lit(".d"), F.col("doc_id").cast("string")).alias("section_id"), concepts.alias("concepts"), summary.alias("summary"))
 
 
 def v_plan(spark: SparkSession, sf_dir: str, daily_sections: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

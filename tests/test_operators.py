@@ -20,6 +20,21 @@ def test_parents_skip_missing_levels(spark):
     assert got["d.p1"][3] == ["d.c1"]
 
 
+def test_parents_nest_at_any_level(spark):
+    levels = [7, 8, 9, 10, 9, 12, 3, 40]
+    rows = sections(spark, [("d", f"s{i}", "T", level, "") for i, level in enumerate(levels)])
+    want = {f"d.s{i}": next((f"d.s{j}" for j in range(i - 1, -1, -1) if levels[j] < level), None) for i, level in enumerate(levels)}
+    assert {r["section_id"]: r["parent_id"] for r in graph.with_parent(rows).collect()} == want
+
+
+def test_search_folds_both_sides_alike(spark):
+    texts = {"ko": "대한 한국 사람", "nfd": "\u1112\u1161\u11ab\u1100\u116e\u11a8", "ja": "みんな がんばれ", "lig": "the \ufb01nance o\ufb03ce", "wide": "\uff26\uff35\uff2c\uff2c text", "half": "\u00bd cup", "latin": "Crème brûlée", "math": "\U0001d400 set", "ascii": "plain Words"}
+    rows = sections(spark, [("d", k, "T", 1, t) for k, t in texts.items()])
+    for query, want in (("한국", {"ko", "nfd"}), ("がんばれ", {"ja"}), ("finance", {"lig"}), ("office", {"lig"}), ("full", {"wide"}), ("creme", {"latin"}), ("brûlée", {"latin"}), ("\U0001d400", {"math"}), ("words", {"ascii"}), ("WORDS", {"ascii"})):
+        assert {r["section_id"][2:] for r in search.term_frequency(rows, query).collect()} == want, query
+        assert {r["section_id"][2:] for r in search.bm25(rows, query).collect()} == want, query
+
+
 def test_bm25_ranks_and_scan_counts(spark):
     rows = sections(spark, [("d", "a", "Storage", 1, "storage storage storage"), ("d", "b", "Other", 1, "nothing"), ("d", "c", "More", 1, "Stôrage once"), ("e", "z", "Z", 1, "empty")])
     assert [r["section_id"] for r in search.bm25(rows, "STORAGE").collect()] == ["d.a", "d.c"]

@@ -26,6 +26,15 @@ def test_query_matches_sql(spark, duck, name):
     assert_same(QUERIES[name](spark, DATA), duck, ORACLE_SQL[name])
 
 
+def test_turns_and_books_are_whole(spark, duck):
+    from quire.sources import views
+
+    turns = views.v_turn_blocks(spark, DATA).selectExpr("count(*) n", "sum(length(text)) chars").first()
+    assert tuple(turns) == duck.execute("SELECT count(*), sum(length(text)) FROM conversations").fetchone()
+    books = {r["doc_id"]: r["n"] for r in views.v_sections(spark, DATA).groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert books == dict(duck.execute("SELECT source, count(*) FROM documents GROUP BY source").fetchall())
+
+
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
 

@@ -36,6 +36,26 @@ def test_slugs_avoid_made_up_names(spark):
     assert [s["section_id"] for s in got] == ["doc.a", "doc.a-2", "doc.a-2-2", "doc.a-3"]
 
 
+def test_slugs_match_a_plain_fold_on_random_titles(spark):
+    random.seed(8)
+    docs = {f"d{d}": [random.choice(["A", "A", "A 2", "a-2-2", "A 3", "B", "b 10", "12", "--", "A 02"]) for _ in range(random.randint(1, 25))] for d in range(30)}
+    rows = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "doc_id string, nr int, title string")
+    want = {}
+    for d, titles in docs.items():
+        used = []
+        for i, t in enumerate(titles):
+            slug = "-".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) or "untitled"
+            used.append(slug if slug not in used else next(f"{slug}-{k}" for k in range(2, 99) if f"{slug}-{k}" not in used))
+            want[d, i] = used[-1]
+    assert {(r["doc_id"], r["nr"]): r["slug"] for r in segment.unique_slugs(rows).collect()} == want
+
+
+def test_levels_beyond_six_make_paths(spark):
+    got = ordered(segment.by_heading(blocks(spark, [("title", "A", 7, 1), ("title", "B", 8, 1), ("title", "C", 8, 1), ("title", "D", 11, 1)]), 20))
+    assert [(s["level"], s["heading_path"]) for s in got] == [(7, ["A"]), (8, ["A", "B"]), (8, ["A", "C"]), (11, ["A", "C", "D"])]
+    assert ordered(segment.by_heading(blocks(spark, [("text", "x", None, 1)])))[0]["heading_path"] == ["Book — Front Matter"]
+
+
 def test_bookmarks_cut_page_ranges(spark):
     rows = blocks(spark, [("text", f"p{p}", None, p) for p in (0, 1, 2, 3, 5)] + [("text", "unpaged", None, None)])
     marks = spark.createDataFrame([("doc", 0, "First", 1, 1), ("doc", 1, "Second", 3, 1), ("doc", 2, "deep", 2, 2), ("doc", 3, "lost", None, 1)], "doc_id string, pos int, title string, page_index int, level int")
