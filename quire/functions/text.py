@@ -46,24 +46,66 @@ def is_section_id(text: Column) -> Column:
     return F.coalesce(text.rlike(SECTION_ID), F.lit(False))
 
 
+def _plain(text: str) -> str:
+    """Compatibility decomposition without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _char_class(chars: str) -> str:
+    """A pattern of one of ``chars`` (ascending), by ranges."""
+    ranges: list[list[int]] = []
+    for point in map(ord, chars):
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+
+
+# Hangul syllables by the rule of Unicode: first, last, and how many of them share a first and a middle letter.
+_HANGUL, _HANGUL_END, _TAILS, _PER_LEAD = 0xAC00, 0xD7A3, 28, 588
+_LEADS, _VOWELS, _ENDS = ("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
 @cache
-def _folding() -> tuple[str, str]:
-    """(from, to) of ``translate``: characters whose decomposition without marks is one other, then marks that vanish."""
-    single, marks = [], []
-    for point in range(0x80, 0x2000):
+def _folding() -> tuple[str, str, str, list[str]]:
+    """(from, to) of ``translate`` for characters that fold to one other and marks, which vanish; others and their images."""
+    single, marks, several = [], [], []
+    for point in [*range(0x80, _HANGUL), *range(0xE000, sys.maxunicode + 1)]:
         char = chr(point)
         if unicodedata.combining(char):
             marks.append(char)
-            continue
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != char:
-            single.append((char, plain))
-    return "".join(a for a, _ in single) + "".join(marks), "".join(b for _, b in single)
+        elif unicodedata.decomposition(char):
+            plain = _plain(char)
+            if len(plain) != 1:
+                several.append((char, plain))
+            elif plain != char:
+                single.append((char, plain))
+    return "".join(a for a, _ in single) + "".join(marks), "".join(b for _, b in single), "".join(a for a, _ in several), [b for _, b in several]
+
+
+def _unfolded(char: Column) -> Column:
+    """The image of a character that may have several letters: Hangul by its rule, others by their place in the table."""
+    _, _, several, images = _folding()
+    nth = F.ascii(char) - _HANGUL
+    letter = lambda letters, at: F.substring(F.lit(letters), at.cast("int") + 1, F.lit(1))
+    tail = nth % _TAILS
+    hangul = F.concat(letter(_LEADS, F.floor(nth / _PER_LEAD)), letter(_VOWELS, F.floor(nth % _PER_LEAD / _TAILS)), F.when(tail > 0, letter(_ENDS, tail - 1)).otherwise(""))
+    place = F.instr(F.lit(several), char)
+    listed = F.element_at(F.split(F.lit("\x00".join(images)), "\x00"), F.greatest(place, F.lit(1)))
+    return F.when(F.ascii(char) < 0x80, char).when((nth >= 0) & (nth <= _HANGUL_END - _HANGUL), hangul).when(place > 0, listed).otherwise(char)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics (characters up to U+1FFF that fold to one other)."""
-    return F.translate(F.lower(text), *_folding())
+    """Lower case, then the compatibility decomposition without marks, as ``query_terms`` has it.
+
+    ASCII texts need only the first; only texts with a character that folds to several are taken apart.
+    """
+    low, (source, target, several, _) = F.lower(text), _folding()
+    spread = F.array_join(F.transform(F.split(low, ""), _unfolded), "")
+    # The first pattern is quick and lets through more than the second.
+    wide = low.rlike(r"[^\x00-\x9f\xc0-\u0131\u014a-\u01c3\u01f4-\u0586]") & low.rlike(f"[\\x{{{_HANGUL:x}}}-\\x{{{_HANGUL_END:x}}}{_char_class(several)}]")
+    return F.when(~low.rlike(r"[^\x00-\x7f]"), low).when(wide, F.translate(spread, source, target)).otherwise(F.translate(low, source, target))
 
 
 def terms(text: Column) -> Column:
@@ -73,7 +115,7 @@ def terms(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Search terms of a query given to the driver."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", query.lower()) if not unicodedata.combining(c))
+    plain = _plain(query.lower())
     out, run = [], ""
     for c in plain + " ":
         if c.isalnum():

@@ -40,7 +40,8 @@ def test_terms_fold_like_decomposition(spark):
         plain = "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
         return "".join(c if c.isalnum() else " " for c in plain).split()
 
-    assert run(spark, text.terms, samples[:4]) == [naive(s) for s in samples[:4]]
+    samples += ["각 힣 가나다", "ﬃ ㍿ ㈠ Ⅷ ½ ﷺ x", "ｶﾞ ガ", "".join(map(chr, range(0x3131, 0x3164))), "日本語 漢字 \uf900", "\U0001d4d0\U0001f110 z"]
+    assert run(spark, text.terms, samples[:4] + samples[5:]) == [naive(s) for s in samples[:4] + samples[5:]]
     assert [text.query_terms(s) for s in samples] == [naive(s) for s in samples]
 
 
