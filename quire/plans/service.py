@@ -1,7 +1,8 @@
 """The reading service: every query and state change of a workspace, as DataFrames over its tables.
 
 Tables lie under the workspace's root: ``blocks``, ``sections``, ``files``, ``annotations``, ``plans``,
-``plan_sections``, ``plan_completed`` and the index.  State tables are append-only logs whose latest row counts.
+``plan_sections``, ``plan_completed`` and the index.  State tables are append-only logs whose latest row counts; of
+blocks and sections a document has those that were saved last.
 """
 
 from __future__ import annotations
@@ -67,22 +68,31 @@ class ReadingService:
         order = Window.partitionBy(*key).orderBy(F.desc("at"))
         return self._table(name, _STATE[name]).withColumn("_nr", F.rank().over(order)).where("_nr = 1").drop("_nr", "at")
 
+    def _saved_last(self, name: str, schema: str) -> DataFrame:
+        """The rows that each document's last batch has."""
+        log = self._table(name, f"{schema}, at long").withColumn("at", F.coalesce("at", F.lit(0)))
+        return log.join(log.groupBy("doc_id").agg(F.max("at").alias("at")), ["doc_id", "at"], "left_semi").select(*(c.split(" ")[0] for c in schema.split(", ")))
+
+    def _save(self, name: str, rows: DataFrame, schema: str) -> None:
+        have = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))]
+        rows.select(*have, F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(f"{self.root}/{name}")
+
     def sections(self) -> DataFrame:
-        return self._table("sections", _SECTIONS)
+        return self._saved_last("sections", _SECTIONS)
 
     def blocks(self) -> DataFrame:
-        return self._table("blocks", _BLOCKS)
+        return self._saved_last("blocks", _BLOCKS)
 
     def annotations(self) -> DataFrame:
         return self._latest("annotations", "doc_id", "section_id")
 
     def save_blocks(self, blocks: DataFrame) -> None:
-        have = [c if c in blocks.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _BLOCKS.split(", "))]
-        blocks.select(*have).write.mode("append").parquet(f"{self.root}/blocks")
+        """Stores all blocks of the documents in ``blocks``, instead of those that they had."""
+        self._save("blocks", blocks, _BLOCKS)
 
     def save_sections(self, sections: DataFrame) -> None:
-        have = [F.col(c).cast(t).alias(c) if c in sections.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _SECTIONS.split(", "))]
-        require_valid(sections).select(*have).write.mode("append").parquet(f"{self.root}/sections")
+        """Stores all sections of the documents in ``sections``, instead of those that they had."""
+        self._save("sections", require_valid(sections), _SECTIONS)
 
     def build_index(self, doc_ids: list[str] | None = None) -> str:
         """Indexes the documents anew, all of them without ``doc_ids``, in one job for all."""
@@ -196,9 +206,16 @@ class ReadingService:
         made = log.where("seq = -1").groupBy("plan_id").agg(F.max("at").alias("_made"))
         return log.join(made, "plan_id").where("at > _made AND seq >= 0").select("plan_id", "seq", "section_id")
 
+    def completed(self, plan_id: str) -> DataFrame:
+        """(section_id) of what a plan has marked as read."""
+        return self._plan(plan_id)[2].select("section_id")
+
     def get_next_section(self, plan_id: str) -> DataFrame:
         """The next batch's sections; nothing is marked."""
         batch = plans.next_batch(*self._plan(plan_id)).select("doc_id", "section_id", "pos")
+        gone = batch.join(self.sections().select("doc_id", "section_id"), ["doc_id", "section_id"], "left_anti").orderBy("pos").first()
+        if gone:
+            raise NotFoundError(f"plan {plan_id!r} has section {gone['section_id']!r}, which {gone['doc_id']!r} has no more")
         return self.sections().join(batch, ["doc_id", "section_id"]).orderBy("pos")
 
     def mark_read(self, plan_id: str, section_id: str | None = None) -> DataFrame:

@@ -17,8 +17,8 @@ from quire.sources.markdown import blocks_of
 FROM_BYTES = frozenset({"doc", "docx", "epub", "ppt", "pptx", "xls", "xlsx"})
 
 
-#: module:class of the converter to Markdown.
-CONVERTER = "office_converter:Converter"
+#: module:class of the converter to Markdown, a public package with ``convert_stream``; others can be named here.
+CONVERTER = "markitdown:MarkItDown"
 
 
 class MissingConverterError(RuntimeError):

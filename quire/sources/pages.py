@@ -57,13 +57,32 @@ def write_pages(pages: DataFrame, folder: str, replace: bool = False) -> dict[st
     return {"written": counts.get(True, 0), "unchanged": counts.get(False, 0)}
 
 
+def clear_folders(names: DataFrame, folder: str) -> None:
+    """Deletes the folders ``names`` (name) under ``folder``, each by the task that holds its name."""
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _open(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if files.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+                    files.delete_dir(f"{root}/{name}")
+            yield batch
+
+    names.select("name").distinct().mapInArrow(clear, "name string").write.format("noop").mode("overwrite").save()
+
+
 def compile_books(sections: DataFrame, folder: str, linked: bool = False) -> dict[str, int]:
-    """A folder per book: a page per section and an index; ``linked`` adds concept links and replaces the folder."""
+    """A folder per book: a page per section and an index; ``linked`` adds concept links and replaces the books' sections.
+
+    Books that ``sections`` has no row of stay as they are.
+    """
     found = concepts.extract_concepts(sections) if linked else None
     pages = render.linked_section_pages(sections, found) if linked else render.section_pages(sections)
     index = render.book_indexes(sections, found) if linked else render.outlines(sections)
     rows = pages.select(F.concat("doc_id", F.lit("/sections/"), "section_id", F.lit(".md")).alias("name"), "content")
-    return write_pages(rows.unionByName(index.select(F.concat("doc_id", F.lit("/README.md")).alias("name"), "content")), folder, replace=linked)
+    if linked:
+        clear_folders(sections.select(F.concat("doc_id", F.lit("/sections")).alias("name")), folder)
+    return write_pages(rows.unionByName(index.select(F.concat("doc_id", F.lit("/README.md")).alias("name"), "content")), folder)
 
 
 def compile_concepts(mentions: DataFrame, sections: DataFrame, annotations: DataFrame, titles: DataFrame, folder: str) -> dict[str, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_slug_id, strip
@@ -30,9 +30,12 @@ def write_documents(blocks: DataFrame, path: str) -> None:
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of JSONL manifests; ``ord`` grows with the place of a row in its file."""
-    rows = spark.read.schema(SECTION).json(path, mode="FAILFAST").where("id IS NOT NULL")
-    return rows.withColumnRenamed("id", "section_id").withColumn("ord", F.monotonically_increasing_id())
+    """Sections of JSONL manifests; ``ord`` counts a document's rows from 0, by file and place in the file."""
+    rows = spark.read.schema(SECTION).json(path, mode="FAILFAST").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # Rows of one split keep their order, and splits of a file are in order of their starts.
+    place = Window.partitionBy("doc_id").orderBy("_file", "_start", "_row")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).where("id IS NOT NULL")
+    return rows.withColumn("ord", F.row_number().over(place).cast("long") - 1).withColumnRenamed("id", "section_id").drop("_file", "_start", "_row")
 
 
 def write_sections(sections: DataFrame, path: str) -> None:

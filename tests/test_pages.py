@@ -21,10 +21,11 @@ def sections(spark):
 def test_books_are_compiled_to_files(sections, tmp_path):
     assert pages.compile_books(sections, str(tmp_path / "plain")) == {"written": 3, "unchanged": 0}
     assert pages.compile_books(sections, str(tmp_path / "plain")) == {"written": 0, "unchanged": 3}
-    (tmp_path / "linked").mkdir()
-    (tmp_path / "linked/stale.md").write_text("old")
+    for book in ("book", "other"):
+        (tmp_path / f"linked/{book}/sections").mkdir(parents=True)
+        (tmp_path / f"linked/{book}/sections/stale.md").write_text("old")
     pages.compile_books(sections, str(tmp_path / "linked"), linked=True)
-    assert not (tmp_path / "linked/stale.md").exists()
+    assert not (tmp_path / "linked/book/sections/stale.md").exists() and (tmp_path / "linked/other/sections/stale.md").exists()
     assert "## Concepts" in (tmp_path / "linked/book/README.md").read_text()
     assert "[[storage-engines|Storage Engines]]" in (tmp_path / "linked/book/sections/book.storage-engines.md").read_text()
 

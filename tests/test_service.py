@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from quire.operators import segment
 from quire.operators.index import SectionIndex
 from quire.operators.plans import PlanCompleteError, UnknownSectionError
 from quire.operators.validation import InvalidIdError
-from quire.plans import cli, plugins
+from quire.plans import cli, plugins, tools
 from quire.plans.service import NotFoundError, PlanExistsError, ReadingService
 from quire.plans.workspace import Config, ConfigError, Workspace, load_config
 from quire.streaming.ingest import block_stream, index_stream
@@ -122,6 +124,51 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"section_id":"deep-work.focus"' in out and '"completed":1' in out
 
 
+def test_commands_can_be_repeated_and_only_told(spark, tmp_path, capsys):
+    root, source, other = str(tmp_path / "ws"), tmp_path / "tides.md", tmp_path / "moons.md"
+    source.write_text("# Tides\n\nIntro.\n\n## Ebb\n\nEbb words.\n")
+    other.write_text("# Moons\n\nText.\n")
+    run = lambda *args: cli.main([root, *args], spark)
+    run("init")
+    run("parse", str(source), "--dry-run")
+    service = ReadingService(spark, root)
+    assert service.blocks().count() == 0
+    for _ in range(2):
+        run("parse", str(source))
+        run("segment")
+    run("parse", str(other))
+    run("segment", "--segmenter", "bookmark", "--doc-id", "moons")
+    assert {(r["doc_id"], r["section_id"]) for r in service.sections().collect()} == {("tides", "tides.tides"), ("tides", "tides.ebb"), ("moons", "moons.moons")}
+    (tmp_path / "ws/inbox/moons").mkdir()
+    (tmp_path / "ws/inbox/moons/book.json").write_text(json.dumps({"book_id": "moons", "pdf": {"pages": 3, "bookmarks": [{"title": "First", "page_index": 0, "level": 1}]}}))
+    run("segment", "--segmenter", "bookmark", "--doc-id", "moons")
+    run("index")
+    run("compile")
+    run("index-concepts")
+    run("stage", str(tmp_path / "staged"))
+    assert (tmp_path / "ws/pages/books/tides/sections/tides.ebb.md").exists() and (tmp_path / "staged/tides.ebb.md").exists()
+    assert '"links_without_page": 0' in capsys.readouterr().out
+    with pytest.raises(ValueError, match="pages 0 to 2"):
+        run("parse-book", "moons", "--command", "x", "--start-page", "7")
+    with pytest.raises(ValueError, match="no range"):
+        run("parse-book", "moons", "--command", "x", "--start-page", "2", "--end-page", "1")
+
+
+def test_tools_answer_with_json_and_name_what_is_wrong(spark, service, tmp_path):
+    box = tools.Tools(spark, service.root)
+    assert set(box.describe()) == set(tools.NAMES) and box.describe()["search"]["arguments"]["query"]["required"]
+    assert [h["section_id"] for h in box.call("search", query="storage")] == ["book.storage-engines"]
+    assert box.call("create_plan", doc_id="book")[0]["plan_id"] == "book-plan"
+    assert [s["section_id"] for s in box.call("get_next_section", plan_id="book-plan")] == ["book.storage-engines"]
+    for name, arguments in (("nope", {}), ("get_section", {"doc_id": "book", "section_id": "book.x"}), ("search", {"query": "--"}), ("search", {"limit": 3}), ("create_plan", {"doc_id": "book"}), ("mark_read", {"plan_id": "book-plan", "section_id": "x"})):
+        with pytest.raises(tools.ToolError):
+            box.call(name, **arguments)
+    blocks = "doc_id string, ord int, id string, type string, text string, level int, page_idx int, doc_title string"
+    service.save_sections(segment.by_heading(spark.createDataFrame([("book", 0, "b0", "title", "Other", 1, 0, "B")], blocks)))
+    with pytest.raises(tools.ToolError, match="has no more"):
+        box.call("get_next_section", plan_id="book-plan")
+
+
 def test_streaming_ingest(spark, tmp_path):
     schema = "doc_id string, ord int, id string, type string, text string, level int, page_idx int, doc_title string"
     rows = spark.createDataFrame([("d", 0, "b0", "title", "Streamed", 1, 0, "D"), ("d", 1, "b1", "text", "words", None, 0, "D")], schema)
