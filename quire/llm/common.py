@@ -43,18 +43,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partition_count(df: DataFrame, bytes_each: int) -> int:
-    """How many partitions keep shares of ``df`` under ``bytes_each`` of its files' size, the session's number at least.
-
-    The size is the planner's estimate, so nothing is read for it; where it has none the session's number holds.
-    """
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a scan's size, so nothing is read for it; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
+    return size if size < 1 << 60 else 0
+
+
+def partition_count(df: DataFrame, bytes_each: int) -> int:
+    """How many partitions keep shares of ``df`` under ``bytes_each`` of its files' size, the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(df) // bytes_each))
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of ``n`` hash partitions an int that ``repartition(n, key)`` sends there, so that n equal shares stay equal."""
+    """For each of ``n`` hash partitions, some thousands at most, an int that ``repartition(n, key)`` sends there."""
     key = F.col("id").cast("int")
     found = dict(spark.range(24 * n + 64).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("key")).collect())  # n rows at most
     return [found.get(p, p) for p in range(n)]

@@ -7,12 +7,14 @@ others are hits.  Hits of a document are merged into maximal removal intervals.
 
 What moves: before the shuffle, a scan task settles equal windows among the documents it holds, so of a window that
 stands in thousands of documents it sends one.  The rest leaves as blobs, one per chunk of words and bucket of
-hashes: 8 bytes of hash and about one of position a window, doc_ids once per blob.  A bucket takes its share of all
-hashes, so there are as many as the input's size asks for, and a task sorts one bucket at a time.  Its hits leave as blobs
-too, one per group of documents.  Texts move once, to meet their hits.
+hashes: 8 bytes of hash, a bit that tells whether the document changes, and steps of doc_id and place of a byte or two.
+So a window takes about as many bytes whether a blob holds thousands or a few.  There are as many buckets as the
+input's size asks for, ``MOST_BUCKETS`` at most; beyond that a task gathers its bucket's blobs and cuts them into
+parts by other bits of the hash, which Spark sorts on the task's own disk, and settles a part at a time.  Hits leave as
+blobs too, one per group of documents.  Texts move once, to meet their hits.
 
-Two different windows agree with odds of 1 in 2^64 (56 bits of hash, 8 of check) times the number of buckets; give
-more ``check_bytes`` beyond 10^10 windows.
+Windows are equal if 64 bits of hash and ``check_bytes`` of another are: for two different ones among all windows the odds are
+under 1 in 64, as the check takes as many bytes as the input's size asks for (one up to 30 GB).
 
 Defined results: null text has no words and a kept text of ''; a document of fewer words than ``width`` is kept whole;
 a row with a null doc_id is kept whole and removes nothing, as no order holds for it; rows that share a doc_id never
@@ -23,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import partition_count, partition_keys, table, unused
+from quire.llm.common import estimated_bytes, partition_keys, table, unused
 
 WIDTH = 50
 #: Words that a scan task hashes at once.
-CHUNK_WORDS = 1_000_000
-#: Bytes of the input's files whose windows make up a bucket, some two million windows.
-BUCKET_BYTES = 8_000_000
-_BLOB = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary())])
-_HITS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
+CHUNK_WORDS = 1_500_000
+#: Bytes of the input's files whose windows a task settles at once, some three million windows.
+BUCKET_BYTES = 12_000_000
+#: Buckets that the shuffle deals out at most, whatever the input's size.
+MOST_BUCKETS = 4096
+_BLOB = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("places", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary())])
+_HITS = pa.schema([("part", pa.int32()), ("places", pa.binary())])
 _BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -96,11 +101,98 @@ def unpack_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
+def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 64 bits as bytes, seven bits each and low ones first; and where each number begins, and the end."""
+    x = x.astype(np.uint64, copy=False)
+    size, rest = np.ones(len(x), np.int64), x >> np.uint64(7)
+    while rest.any():
+        size += rest > 0
+        rest >>= np.uint64(7)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k) if k else slice(None)
+        out[at[:-1][has] + k] = (x[has] >> np.uint64(7 * k)).astype(np.uint8) & 127 | (size[has] > k + 1).astype(np.uint8) << 7
+    return out, at
+
+
+def from_varints(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    last = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], last[:-1] + 1])
+    nth = (np.arange(len(data)) - np.repeat(starts, last - starts + 1)).astype(np.uint64)
+    return np.add.reduceat((data & np.uint8(127)).astype(np.uint64) << nth * np.uint64(7), starts)
+
+
+def pack_places(doc_ids: np.ndarray, versions: np.ndarray | None, places: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The rows (doc_id, version, place) of each of the runs between ``bounds``, each run in that order, as bytes.
+
+    A bit a row tells whether its document is another than the row before; if so the step from that doc_id and the place
+    follow, else the step from that place.
+    """
+    new = np.ones(len(places), bool)
+    new[1:] = doc_ids[1:] != doc_ids[:-1]
+    if versions is not None:
+        new[1:] |= versions[1:] != versions[:-1]
+    new[bounds[:-1][bounds[:-1] < len(places)]] = True
+    steps = places.astype(np.int64)
+    steps[1:] -= np.where(new[1:], 0, places[:-1].astype(np.int64))
+    heads = np.flatnonzero(new)
+    of_doc = np.searchsorted(heads, bounds)
+    ids = doc_ids[heads].astype(np.int64, copy=False)
+    gaps = ids.copy()
+    gaps[1:] -= ids[:-1]  # modulo 2^64
+    first = of_doc[:-1][of_doc[:-1] < len(heads)]
+    gaps[first] = ids[first]
+    gap_bytes, gap_at = varints(gaps.view(np.uint64))
+    step_bytes, step_at = varints(steps)
+    out = []
+    for a, b, c, d in zip(bounds[:-1].tolist(), bounds[1:].tolist(), of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True):
+        own_gaps = gap_bytes[gap_at[c] : gap_at[d]].tobytes()
+        own_versions = b"" if versions is None else versions[heads[c:d]].astype("<i8").tobytes()
+        out.append(b"".join((np.array([b - a, len(own_gaps), len(own_versions)], "<u4").tobytes(), np.packbits(new[a:b]).tobytes(), own_gaps, own_versions, step_bytes[step_at[a] : step_at[b]].tobytes())))
+    return out
+
+
+def unpack_places(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, version, place, rows of each blob); versions are 0 where there are none."""
+    ids, versions, places, sizes = [], [], [], []
+    for blob in blobs:
+        n, n_gaps, n_versions = np.frombuffer(blob, "<u4", 3).tolist()
+        data = np.frombuffer(blob, np.uint8)
+        at = 12 + -(-n // 8)
+        new = np.unpackbits(data[12:at], count=n).astype(bool)
+        doc = np.cumsum(new) - 1
+        ids.append(np.cumsum(from_varints(data[at : at + n_gaps]).view(np.int64))[doc])
+        own = data[at + n_gaps : at + n_gaps + n_versions]
+        versions.append(own.copy().view("<i8")[doc] if n_versions else np.zeros(n, np.int8))
+        steps = from_varints(data[at + n_gaps + n_versions :]).astype(np.int64)
+        sums = np.cumsum(steps)
+        heads = np.flatnonzero(new)
+        places.append((sums - (sums[heads] - steps[heads])[doc]).astype(np.int32))
+        sizes.append(n)
+    empty = np.zeros(0, np.int64)
+    return *(np.concatenate(x) if x else empty for x in (ids, versions, places)), np.array(sizes, np.int64)
+
+
+def _blobs(bucket: np.ndarray, keys: list[tuple[int, int]], doc_ids: np.ndarray, versions: np.ndarray | None, places: np.ndarray, hashes: np.ndarray, checks: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per bucket: ``keys`` has each one's bucket and part.  Settled rows leave beside the others, without hashes."""
+    whole = np.where(settled, bucket + len(keys), bucket).astype(np.int32)
+    order = np.lexsort((places, *(() if versions is None else (versions,)), doc_ids, whole))
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(whole, minlength=2 * len(keys)))])
+    used = np.flatnonzero(np.diff(bounds))
+    packed = pack_places(doc_ids[order], None if versions is None else versions[order], places[order], bounds[np.append(used, 2 * len(keys))])
+    low, check = _low_bytes(hashes[order]), checks[order]
+    rows = [(*keys[b % len(keys)], places_, b"" if b >= len(keys) else low[bounds[b] : bounds[b + 1]].tobytes(), b"" if b >= len(keys) else check[bounds[b] : bounds[b + 1]].tobytes()) for b, places_ in zip(used.tolist(), packed, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
+
+
 class _Chunk:
     """Documents of a scan task until they hold enough words."""
 
-    def __init__(self, width: int, keys: list[int], check_bytes: int) -> None:
-        self.width, self.keys, self.buckets, self.check_bytes = width, keys, len(keys), check_bytes
+    def __init__(self, width: int, keys: list[int], check_bytes: int, versions: bool = True) -> None:
+        self.width, self.keys, self.check_bytes, self.versions = width, keys, check_bytes, versions
         self.value, self.rows, self.n = WordValues(), [], 0
 
     def add(self, doc_id: int, version: int, text: bytes) -> bool:
@@ -123,7 +215,8 @@ class _Chunk:
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         at = np.flatnonzero(owner[: len(values) - self.width + 1] == owner[self.width - 1 :])
         hashes = _mixed(window_hashes(values, self.width)[at])
-        checks = _mixed(window_hashes(values, self.width, _CHECK_BASE)[at])
+        checks = _mixed(window_hashes(values, self.width, _CHECK_BASE)[at]).astype(f"<u{self.check_bytes}")
+        del values
         owner = owner[at]
         # Equal windows within the chunk: the first is of the smallest doc_id, as documents are in its order.
         order = np.argsort(hashes, kind="stable")
@@ -133,39 +226,18 @@ class _Chunk:
         later = np.zeros(len(order), bool)
         later[order] = (doc_ids[owner[order]] > doc_ids[owner[first]]) & (checks[order] == checks[first])
         del order, sorted_, head, first
-        local = np.flatnonzero(later)
-        rest = np.flatnonzero(~later)
-        bucket = (hashes[rest] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
-        rest = rest[np.argsort(bucket.astype(np.int32), kind="stable")]
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=self.buckets))])
-        check = checks.astype(f"<u{self.check_bytes}") if self.check_bytes < 8 else checks
-        out: list[list] = [[], [], [], [], []]
-        for b in range(self.buckets):
-            own = rest[bounds[b] : bounds[b + 1]]
-            if len(own):
-                docs, nth = np.unique(owner[own], return_inverse=True)
-                place = at[own] - starts[docs][nth]
-                # doc by doc, then by place: one ascending row of numbers
-                spread = np.concatenate([[0], np.cumsum(lengths[docs])])
-                table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
-                for column, x in zip(out, (self.keys[b], table_.astype("<i8").tobytes(), _low_bytes(hashes[own]), check[own].tobytes(), pack_ascending(place + spread[nth])), strict=True):
-                    column.append(x)
-        # Hits settled here pass through the shuffle beside the blobs, spread over the buckets.
-        for nth, own in enumerate(np.array_split(local, min(self.buckets, len(local) // 100_000 + 1)) if len(local) else []):
-            docs, of = np.unique(owner[own], return_inverse=True)
-            spread = np.concatenate([[0], np.cumsum(lengths[docs])])
-            table_ = np.stack([doc_ids[docs], versions[docs], lengths[docs]])
-            for column, x in zip(out, (self.keys[int(doc_ids[0] + nth) % self.buckets], table_.astype("<i8").tobytes(), b"", b"", pack_ascending(at[own] - starts[docs][of] + spread[of])), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOB, strict=True)], schema=_BLOB)
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(len(self.keys)) >> np.uint64(32)).astype(np.int32)
+        # Hits settled here pass through the shuffle beside the blobs: all of a document's in one of the buckets.
+        bucket = np.where(later, (doc_ids[owner] % len(self.keys)).astype(np.int32), bucket)
+        yield from _blobs(bucket, [(k, 0) for k in self.keys], doc_ids[owner], versions[owner] if self.versions else None, (at - starts[owner]).astype(np.int32), hashes, checks, later)
 
 
 _HASH_BYTES = 7
 
 
-def _low_bytes(hashes: np.ndarray) -> bytes:
-    """All but the top byte, which the bucket stands for."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes()
+def _low_bytes(hashes: np.ndarray) -> np.ndarray:
+    """All but the top byte, which the bucket stands for, a row a hash."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
 
 
 def _from_low_bytes(data: bytes) -> np.ndarray:
@@ -174,66 +246,50 @@ def _from_low_bytes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _hits(doc_ids: np.ndarray, versions: np.ndarray, owner: np.ndarray, place: np.ndarray, keys: list[int]) -> pa.RecordBatch:
-    """A row per group of documents: each one's doc_id, version and number of hits, and the places of their hits."""
+def _hits(doc_ids: np.ndarray, versions: np.ndarray, places: np.ndarray, keys: list[int], with_versions: bool) -> pa.RecordBatch:
+    """A row per group of documents: the places of their hits."""
     part = (doc_ids.astype(np.uint64) * _BASE >> np.uint64(33)).astype(np.int64) % len(keys)
-    order = np.lexsort((place, owner, part[owner]))
-    owner, place = owner[order], place[order]
-    rows: list[list] = [[], [], []]
-    for p, own in _runs(part[owner]):
-        docs, counts = np.array([(o, len(i)) for o, i in _runs(owner[own])]).T
-        # places of all documents in one ascending row: each document's begin after the last one's end
-        last = place[own][np.cumsum(counts) - 1] + 1
-        spread = np.repeat(np.cumsum(last) - last, counts)
-        for column, x in zip(rows, (keys[p], np.stack([doc_ids[docs], versions[docs], counts]).astype("<i8").tobytes(), pack_ascending(place[own] + spread)), strict=True):
-            column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _HITS, strict=True)], schema=_HITS)
-
-
-def _runs(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(value, its places) of each run of equal values."""
-    heads = np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
-    for a, b in zip(heads, np.append(heads[1:], len(x)), strict=False):
-        yield int(x[a]), np.arange(a, b)
-
-
-def _gather(blobs: list[tuple[bytes, bytes]]) -> dict[tuple[int, int], list[np.ndarray]]:
-    """The places of hits by (doc_id, version)."""
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for docs, places in blobs:
-        ids, versions, counts = np.frombuffer(docs, "<i8").reshape(3, -1)
-        x, end, base = unpack_ascending(places), 0, 0
-        for doc_id, version, n in zip(ids.tolist(), versions.tolist(), counts.tolist(), strict=True):
-            own = x[end : end + n] - base
-            out.setdefault((doc_id, version), []).append(own)
-            end, base = end + n, base + int(own[-1]) + 1
-    return out
+    order = np.lexsort((places, versions, doc_ids, part))
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(keys)))])
+    used = np.flatnonzero(np.diff(bounds))
+    packed = pack_places(doc_ids[order], versions[order] if with_versions else None, places[order], bounds[np.append(used, len(keys))])
+    return pa.RecordBatch.from_arrays([pa.array([keys[p] for p in used], pa.int32()), pa.array(packed, pa.binary())], schema=_HITS)
+
 
+def _decoded(blobs: list[tuple[bytes, bytes, bytes]], check_bytes: int) -> tuple[np.ndarray, ...]:
+    """(doc_id, version, place, hash, check, settled) of blobs (places, hashes, checks); settled ones have hash and check 0."""
+    ids, versions, places, sizes = unpack_places([b[0] for b in blobs])
+    settled = np.repeat(np.array([not b[1] for b in blobs], bool), sizes)
+    hashes, checks = np.zeros(len(ids), np.uint64), np.zeros(len(ids), f"<u{check_bytes}")
+    hashes[~settled] = _from_low_bytes(b"".join(b[1] for b in blobs))
+    checks[~settled] = np.frombuffer(b"".join(b[2] for b in blobs), f"<u{check_bytes}")
+    return ids, versions, places, hashes, checks, settled
 
-def _settle(blobs: list[tuple[bytes, bytes, bytes, bytes]], check_bytes: int, keys: list[int]) -> pa.RecordBatch:
-    """The hits among one bucket's windows: all but those of the smallest doc_id of each hash.
+
+def _settle(blobs: list[tuple[bytes, bytes, bytes]], check_bytes: int, keys: list[int], with_versions: bool) -> pa.RecordBatch:
+    """The hits among the windows of a bucket's part: all but those of the smallest doc_id of each hash.
 
     Blobs without hashes are hits that a scan task has settled already.
     """
-    doc_ids, versions, owners, places, base = [], [], [], [], 0
-    for docs, _, _, packed in blobs:
-        ids, version, lengths = np.frombuffer(docs, "<i8").reshape(3, -1)
-        spread = np.concatenate([[0], np.cumsum(lengths)])
-        x = unpack_ascending(packed)
-        nth = np.searchsorted(spread, x, "right") - 1
-        doc_ids.append(ids), versions.append(version), owners.append((nth + base).astype(np.int32)), places.append((x - spread[nth]).astype(np.int32))
-        base += len(ids)
-    ids, version, owner, place = (np.concatenate(x) for x in (doc_ids, versions, owners, places))
-    hashes = np.concatenate([_from_low_bytes(b[1]) for b in blobs])
-    checks = np.concatenate([np.frombuffer(b[2], f"<u{check_bytes}") for b in blobs])
-    settled = np.concatenate([np.full(len(x), not b[1]) for x, b in zip(owners, blobs, strict=True)])
+    ids, versions, places, hashes, checks, settled = _decoded(blobs, check_bytes)
     open_ = np.flatnonzero(~settled)
-    order = np.lexsort((ids[owner[open_]], checks, hashes))
-    h, c, d = hashes[order], checks[order], ids[owner[open_[order]]]
+    order = open_[np.lexsort((ids[open_], checks[open_], hashes[open_]))]
+    h, c, d = hashes[order], checks[order], ids[order]
     head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else order
-    hit = open_[order[d > np.repeat(d[head], np.diff(np.append(head, len(order))))]] if len(h) else order
+    hit = order[d > np.repeat(d[head], np.diff(np.append(head, len(order))))] if len(h) else order
     hit = np.concatenate([np.flatnonzero(settled), hit])
-    return _hits(ids, version, owner[hit], place[hit], keys)
+    return _hits(ids[hit], versions[hit], places[hit], keys, with_versions)
+
+
+def _by_document(blobs: list[bytes]) -> pa.RecordBatch:
+    """(doc_id, version, at): the ascending places of each document's hits."""
+    ids, versions, places, _ = unpack_places(blobs)
+    order = np.lexsort((places, versions, ids))
+    ids, versions, places = ids[order], versions[order], places[order]
+    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])]) if len(ids) else np.zeros(0, bool)
+    heads = np.flatnonzero(other)
+    at = [pack_ascending(np.unique(places[a:b])) for a, b in zip(heads, np.append(heads[1:], len(ids)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(versions[heads].astype(np.int64), pa.int64()), pa.array(at, pa.binary())], ["doc_id", "version", "at"])
 
 
 def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -244,48 +300,86 @@ def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[heads].tolist(), (starts[np.append(heads[1:], len(starts)) - 1] + width).tolist(), strict=True))
 
 
-def repeated_windows(docs: DataFrame, buckets: int, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+def shape_of(size: int, least: int) -> tuple[int, int, int]:
+    """(buckets, parts of a bucket, bytes of check) for input files of ``size`` bytes, ``least`` buckets at least."""
+    asked = max(least, -(-size // BUCKET_BYTES))
+    buckets = min(asked, max(MOST_BUCKETS, least))
+    windows = max(size // 4, 2)  # a window begins at each word, and words take four bytes of a file or more
+    known = 8 * _HASH_BYTES + min(8, buckets.bit_length() - 1)
+    bits = 2 * math.log2(windows) - 1 + 6 - known  # odds of 1 in 2^6 among all pairs
+    return buckets, -(-asked // buckets), next(n for n in (1, 2, 4, 8) if 8 * n >= bits or n == 8)
+
+
+def repeated_windows(docs: DataFrame, size: int, width: int = WIDTH, check_bytes: int | None = None) -> DataFrame:
     """(doc_id, version, at): per document, the starts of its windows that also start in a smaller doc_id.
 
-    ``version`` is the text's hash: it tells apart rows that share a doc_id; rows of the same text too are treated alike.
+    ``version`` is the text's hash: it tells apart rows that share a doc_id, and is 0 where no doc_id has two texts; rows
+    of the same text too are treated alike.  ``size`` is that of the input's files.
     """
-    keys = partition_keys(docs.sparkSession, buckets)
+    spark = docs.sparkSession
+    buckets, parts, check = shape_of(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    check = check_bytes or check
+    keys = partition_keys(spark, buckets)
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary"))
+    versions = not known.groupBy("doc_id").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a <> b").isEmpty()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(width, keys, check_bytes)
+        chunk = _Chunk(width, keys, check, versions)
         for batch in batches:
             for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk.add(doc_id, version, text):
                     yield from chunk.flush()
         yield from chunk.flush()
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """The rows of one first column at a time, without it."""
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs of many chunks as blobs of the bucket's parts."""
+
+        def again(key: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            ids, own, places, hashes, checks, settled = _decoded(held, check)
+            part = (hashes >> np.uint64(24) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)
+            yield from _blobs(part.astype(np.int32), [(key, p) for p in range(parts)], ids, own if versions else None, places, hashes, checks, settled)
+
+        held, n, key = [], 0, None
+        for batch in batches:
+            for bucket, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (n >= CHUNK_WORDS or bucket != key):
+                    yield from again(key, held)
+                    held, n = [], 0
+                key = bucket
+                held.append(tuple(row))
+                n += int.from_bytes(row[0][:4], "little")
+        if held:
+            yield from again(key, held)
+
+    def grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
+        """The rows of one key, the first ``n`` columns, at a time, without it."""
         key, rows = None, []
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key and rows:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != key and rows:
                     yield rows
                     rows = []
-                key = k
-                rows.append(tuple(row))
+                key = row[:n]
+                rows.append(row[n:])
         if rows:
             yield rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in grouped(batches):
-            yield _settle(blobs, check_bytes, keys)
+        for blobs in grouped(batches, 2):
+            yield _settle(blobs, check, keys, versions)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in grouped(batches):
-            found = _gather(blobs)
-            places = [pack_ascending(np.unique(np.concatenate(x))) for x in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(places, pa.binary())], ["doc_id", "version", "at"])
+        for blobs in grouped(batches, 1):
+            yield _by_document([places for (places,) in blobs])
 
-    narrow = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary"))
-    windows = narrow.mapInArrow(cut, "bucket int, docs binary, hashes binary, checks binary, places binary")
-    hits = windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "part int, docs binary, places binary")
-    return hits.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(gather, "doc_id long, version long, at binary")
+    narrow = known if versions else known.withColumn("version", F.lit(0).cast("long"))
+    blob = "bucket int, part int, places binary, hashes binary, checks binary"
+    dealt = narrow.mapInArrow(cut, blob).repartition(buckets, "bucket")
+    if parts > 1:
+        dealt = dealt.mapInArrow(gathered, blob)
+    hits = dealt.sortWithinPartitions("bucket", "part").mapInArrow(count, "part int, places binary")
+    found = hits.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(gather, "doc_id long, version long, at binary")
+    return found.withColumn("version", F.when(F.lit(versions), F.col("version")))
 
 
 def _kept(text: bytes | None, at: bytes | None, width: int) -> tuple[list[bytes], int]:
@@ -301,16 +395,18 @@ def _kept(text: bytes | None, at: bytes | None, width: int) -> tuple[list[bytes]
     return kept, len(own) - len(kept)
 
 
-def _with_starts(rows: DataFrame, buckets: int, width: int, check_bytes: int) -> DataFrame:
+def _with_starts(rows: DataFrame, size: int, width: int, check_bytes: int | None) -> DataFrame:
     """``rows`` (any columns, doc_id and text among them) and last the starts of their repeated windows."""
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     id_, version, at = (unused(rows.columns, name) for name in ("_id", "_version", "_at"))
-    starts = repeated_windows(narrow, buckets, width, check_bytes).select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.col("at").alias(at))
-    keyed = rows.withColumns({id_: F.col("doc_id").cast("long"), version: F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(starts, [id_, version], "left").select(*rows.columns, at)
+    starts = repeated_windows(narrow, size, width, check_bytes)
+    text = F.xxhash64(F.col("text").cast("string"))
+    keyed = rows.withColumns({id_: F.col("doc_id").cast("long"), version: text})
+    met = keyed.join(starts, (keyed[id_] == starts["doc_id"]) & (keyed[version] == F.coalesce(starts["version"], keyed[version])), "left")
+    return met.select(*(keyed[c] for c in rows.columns), starts["at"].alias(at))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 of the kept words joined by spaces."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,17 +419,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) ->
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    met = _with_starts(docs.select("doc_id", "text"), partition_count(docs, BUCKET_BYTES), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "_at")
+    met = _with_starts(docs.select("doc_id", "text"), estimated_bytes(docs), width, check_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), "_at")
     return met.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def keep_first_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int = 1) -> DataFrame:
+def keep_first_windows(docs: DataFrame, width: int = WIDTH, check_bytes: int | None = None) -> DataFrame:
     """``docs`` (any columns, doc_id and text among them) with repeated windows taken out of ``text``.
 
     A text that loses words becomes its kept words joined by one space, ``n_chars`` (if there is one) their length; a
     document that loses all its words goes.  Other texts stay as they are.
     """
-    met = _with_starts(docs, partition_count(docs, BUCKET_BYTES), width, check_bytes)
+    met = _with_starts(docs, estimated_bytes(docs), width, check_bytes)
     schema, text = docs.schema, docs.columns.index("text")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

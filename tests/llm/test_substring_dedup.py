@@ -56,6 +56,46 @@ def test_chunks_of_a_task_do_not_matter(spark, monkeypatch):
     assert rows(dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), width=10)) == {d: x[:3] for d, x in plain(docs, 10).items()}
 
 
+def test_parts_of_a_bucket_do_not_matter(spark, monkeypatch):
+    random.seed(6)
+    docs = [(d, " ".join(random.choice("abc") for _ in range(random.randint(0, 60)))) for d in range(150)]
+    docs += [(1000 + d, text) for d, text in docs[:30]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(dedup, "shape_of", lambda size, least: (4, 7, 1))
+    monkeypatch.setattr(dedup, "CHUNK_WORDS", 500)
+    assert rows(dedup.remove_repeats(df, width=6)) == {d: x[:3] for d, x in plain(docs, 6).items()}
+
+
+def test_bytes_of_a_window_do_not_grow_with_the_buckets(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [(i * 3, b" ".join(b"%d" % w for w in r.integers(0, 10**7, 480))) for i in range(3200)]
+    took = {}
+    for buckets in (64, 2500):
+        chunk = dedup._Chunk(50, list(range(buckets)), 1, False)
+        for d, text in texts:
+            if chunk.add(d, 0, text):
+                break
+        (batch,) = chunk.flush()
+        sizes = [sum(len(x) for x in c.to_pylist()) for c in batch.columns[2:]]
+        took[buckets] = (sum(sizes) + 72 * batch.num_rows) / (sizes[2] or 1)  # with what a row takes in a shuffle
+    assert took[64] < 11 and took[2500] < 1.2 * took[64], took  # 9.4 and 10.9
+
+
+def test_check_is_as_wide_as_the_input_asks_for():
+    assert dedup.shape_of(10**8, 12) == (12, 1, 1) and dedup.shape_of(30 * 10**9, 12) == (2500, 1, 1)
+    buckets, parts, check = dedup.shape_of(10**14, 200)
+    assert buckets == dedup.MOST_BUCKETS and parts * buckets * dedup.BUCKET_BYTES >= 10**14 and check == 4
+
+
+@given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(0, 2), st.integers(0, 2**31 - 1)), max_size=40, unique=True), st.integers(1, 3))
+def test_places_pack_and_unpack(values, runs):
+    cuts = np.linspace(0, len(values), runs + 1).astype(int)
+    values = [v for a, b in zip(cuts, cuts[1:], strict=False) for v in sorted(values[a:b])]
+    ids, versions, places = (np.array([v[i] for v in values], np.int64) for i in range(3))
+    got = dedup.unpack_places(dedup.pack_places(ids, versions, places, cuts))
+    assert [x.tolist() for x in got[:3]] == [ids.tolist(), versions.tolist(), places.tolist()] and got[3].tolist() == np.diff(cuts).tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 8))
 def test_rolling_hash_tells_windows_apart(values, width):
