@@ -4,13 +4,13 @@ Items and documents are compared by words (runs other than \\x20 and \\x09-\\x0D
 may be matched with k = floor(``error_rate`` * m) word edits.  It is split into k + 1 pieces: whatever the k edits are,
 one piece stands unchanged in the document.  Exact hits of pieces are found for all words of many documents at once by
 Rabin-Karp hashes of their windows, and each hit's surroundings are verified with Myers' bit-parallel edit distance
-over words, so a hash never decides.
+over words, so a window's hash never decides; words are compared by 64-bit values of theirs.  An item of few words has
+k = 0 and is one exact piece, found anywhere.
 
 Documents are read once per block of ``block_words`` words of items and don't move; a block is what each task holds of
 the benchmark, however large the benchmark is.
 
-Defined results: items of fewer than ``min_words`` words match only a document whose words are just the item's; items
-without words, null items and null texts match nothing; repeated items and repeated rows are each reported; a null
+Defined results: items without words, null items and null texts match nothing; repeated items and repeated rows are each reported; a null
 doc_id or item_id is carried through; columns other than doc_id, text, item_id and text are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 from quire.llm.substring_dedup import WordValues, window_hashes
 
-ERROR_RATE, MIN_WORDS = 0.2, 5
+ERROR_RATE = 0.2
 #: Words of items that a task holds at once.
 BLOCK_WORDS = 2_000_000
 #: Words of documents that are searched at once.
@@ -68,7 +68,6 @@ class Item:
     item_id: int | None
     words: list[int]
     errors: int
-    whole: bool  # only a document of just these words matches
     masks: dict[int, int] = field(default_factory=dict)
     back: dict[int, int] = field(default_factory=dict)
 
@@ -133,8 +132,6 @@ def matches(texts: list[bytes | None], index: PieceIndex, value: WordValues) ->
     for (text, i), begins in around.items():
         item, best = index.items[i], None
         m, k = len(item.words), item.errors
-        if item.whole and lengths[text] != m:
-            continue
         begins.sort()
         stretch = [max(0, begins[0] - k), begins[0] + m + k]
         for begin in [*begins[1:], None]:
@@ -151,7 +148,7 @@ def matches(texts: list[bytes | None], index: PieceIndex, value: WordValues) ->
     return sorted(out)
 
 
-def item_blocks(benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> Iterator[list[Item]]:
+def item_blocks(benchmark: DataFrame, error_rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> Iterator[list[Item]]:
     """The benchmark's items (item_id, text), a bounded number of words at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -161,9 +158,8 @@ def item_blocks(benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words:
         out = []
         for item_id, text in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect():
             found = [value[w] for w in bytes(text).lower().split()]
-            whole = len(found) < min_words
             if found:
-                out.append(Item(item_id, found, 0 if whole else int(error_rate * len(found)), whole))
+                out.append(Item(item_id, found, int(error_rate * len(found))))
         yield sorted(out, key=lambda x: (x.item_id is None, x.item_id, x.words))
 
 
@@ -176,7 +172,7 @@ def _per_chunk(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(int(a), int(b - a))
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds: the closest place."""
 
     def search(index) -> DataFrame:
@@ -192,10 +188,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(each, MATCH)
 
     share = docs.sparkSession.sparkContext.broadcast  # `block_words` bounds what is sent
-    return reduce(DataFrame.unionByName, (search(share(PieceIndex(items))) for items in item_blocks(benchmark, error_rate, min_words, block_words)))
+    return reduce(DataFrame.unionByName, (search(share(PieceIndex(items))) for items in item_blocks(benchmark, error_rate, block_words)))
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` (any columns, text among them) that hold no item.  No row moves."""
 
     def keep(rows: DataFrame, index) -> DataFrame:
@@ -212,7 +208,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
         return rows.mapInArrow(each, rows.schema)
 
     share = docs.sparkSession.sparkContext.broadcast  # `block_words` bounds what is sent
-    return reduce(keep, (share(PieceIndex(items)) for items in item_blocks(benchmark, error_rate, min_words, block_words)), docs)
+    return reduce(keep, (share(PieceIndex(items)) for items in item_blocks(benchmark, error_rate, block_words)), docs)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,6 @@ def plain_matches(docs, items):
             own = (item or "").encode().lower().split()
             if not own:
                 continue
-            if len(own) < d.MIN_WORDS:
-                if words == own:
-                    out.add((doc_id, item_id, 0))
-                continue
             distance, _ = least_edits(own, words)
             if distance <= int(d.ERROR_RATE * len(own)):
                 out.add((doc_id, item_id, distance))
