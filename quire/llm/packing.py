@@ -54,7 +54,10 @@ _encoders: dict[Vocabulary, object] = {}
 
 
 def encoder(vocabulary: Vocabulary):
-    """text -> uint32 ids.  Same ids as the tokenizers file gives; Latin texts go through the rank file's faster library."""
+    """text -> uint32 ids.  Same ids as the tokenizers file gives; Latin texts go through the rank file's faster library.
+
+    A text that has one of the file's added tokens literally goes through the file, which gives the token's own id.
+    """
     if vocabulary not in _encoders:
         import os
 
@@ -63,13 +66,13 @@ def encoder(vocabulary: Vocabulary):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         full = Tokenizer.from_file(vocabulary.json)
-        full.encode_special_tokens = True
+        added = [token.content for token in full.get_added_tokens_decoder().values()]
         with open(vocabulary.ranks, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if _BEYOND_LATIN.search(text):
+            if _BEYOND_LATIN.search(text) or any(token in text for token in added):
                 return np.array(full.encode(text, add_special_tokens=False).ids, "<u4")
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

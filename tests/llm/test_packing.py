@@ -70,7 +70,6 @@ def hf(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -110,3 +109,7 @@ def test_messy_rows(spark, messy, no_docs):
     assert {(r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] in (2, 3)} == {(1, zlib.crc32(b"\0\0\0\0"))}
     assert sum(r["length"] for r in rows if r["doc_id"] == 5) > 60_000
     assert packing.pack(no_docs).count() == 0
+
+
+def test_added_tokens_get_their_own_ids():
+    assert packing.encoder(packing.Vocabulary.public())("a<|endoftext|>b").tolist() == hf("a<|endoftext|>b") == [64, 50256, 65]
