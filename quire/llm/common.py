@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (single-machine tests) one is made and set for the session.
+    A session on one machine (``local``) that has none gets one; on a cluster it has to be set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,18 +64,33 @@ def partition_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(p, p) for p in range(n)]
 
 
+#: Rows of a key that a task joins at least before the key counts as hot, and the part of all rows that it joins at most.
+LEAST_HOT, HOT_SHARE = 200, 100_000
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has a row per ``key`` at most; keys aren't null.
 
-    Keys that a thousandth of ``left`` or more share (a thousand keys at most) meet their rows of ``right`` by
-    broadcast; only the others are dealt out by key.  ``counts`` (key, n) spares counting the keys of ``left``.
+    A key of more than ``LEAST_HOT`` rows and a ``HOT_SHARE``-th of all rows is dealt out over as many tasks as keep each
+    under that, its row of ``right`` to each of them.  There are ``HOT_SHARE`` such keys at most, so their numbers of tasks
+    are broadcast.  ``counts`` (key, n) spares counting the keys of ``left``.
     """
     counts = counts if counts is not None else left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("n") * 1000 >= max(rows, 1)).select(key).collect()]
-    is_hot = F.col(key).isin(hot)
-    there = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
-    return there.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+    most = max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    salts, salt = unused([*left.columns, *right.columns], "_salts"), unused([*left.columns, *right.columns], "_salt")
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias(salts)))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.coalesce(salts, F.lit(1))).cast("int"))
+    copied = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    return dealt.drop(salts).join(copied, [key, salt], how).drop(salt)
+
+
+#: A table of this size at most, as its files have it, is sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left`` joined with the written table ``right``, by broadcast while its files are small, else as ``join_skewed``."""
+    return left.join(F.broadcast(right), key, how) if estimated_bytes(right) <= BROADCAST_BYTES else join_skewed(left, right, key, how)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -64,7 +64,7 @@ def _safe_url(url: Column) -> Column:
 
 
 def header_block(date: str = DATE) -> Column:
-    """The exact WARC header of a row with page_id, url, record_type, refers_to, payload_sha1 and content_length."""
+    """The exact WARC header of a row with page_id, url, record_type, refers_to, newest_url, payload_sha1 and content_length."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     return F.concat(
         F.lit(f"WARC/1.1{_EOL}"),
@@ -74,6 +74,7 @@ def header_block(date: str = DATE) -> Column:
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_sha1"))),
         _line("WARC-Page-ID", page),
+        F.when(F.col("refers_to").isNotNull(), _line("WARC-Refers-To", _urn(F.col("refers_to").cast("string"), F.col("payload_sha1"), F.coalesce("newest_url", F.lit(""))))).otherwise(F.lit("")),
         F.coalesce(_line("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")), F.lit("")),
         F.when(F.col("record_type") == "revisit", _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -87,7 +88,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, d
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     digested = materialize(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("payload_sha1"), F.length("payload").cast("long").alias("payload_bytes")), "digests")
-    newest = digested.groupBy("digest").agg(F.max("page_id").alias("newest"))
+    newest = digested.groupBy("digest").agg(F.max("page_id").alias("newest"), F.max_by("url", F.struct("page_id", "url")).alias("newest_url"))
     revisit = (F.col("payload_bytes") >= least_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("newest")) & F.col("newest").isNotNull(), F.lit(False))
     records = (
         join_skewed(digested, newest, "digest")
@@ -126,7 +127,7 @@ def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
     records = spark.read.schema("page_id long, digest string, header string").parquet(archive.records)
     stored = spark.read.schema("digest string, payload binary").parquet(archive.payloads)
     content = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return records.join(stored, "digest").select("page_id", F.concat(F.col("header").cast("binary"), content, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return join_skewed(records, stored, "digest").select("page_id", F.concat(F.col("header").cast("binary"), content, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
