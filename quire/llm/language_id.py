@@ -1,7 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Character 1- to 3-grams of the whole lower-cased text are hashed to ``2 ** bits`` features.  Document frequencies
-come from all rows that may be learned from.  Weights are trained on a bounded sample of them (``most`` rows) with
+come from all rows that may be learned from.  Weights are trained on a bounded sample of them (``most`` rows, an equal
+share of each language, so that a rare one is learned too) with
 follow-the-regularised-leader per-coordinate steps, whose L1 part leaves most weights zero and whose L2 part shrinks
 the rest; a fifth of the sample is set aside to fit one temperature, which divides the logits before the softmax.
 
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, table
-from quire.llm.sampling import bounded_sample
+from quire.llm.sampling import sample_per_group
 
 UNDETERMINED = "und"
 BITS = 14
-#: Rows of the training sample, at most.
-MOST = 4000
+#: Rows of the training sample, at most, and of how many languages, the most frequent ones; each has an equal share.
+MOST, MOST_LANGUAGES = 4000, 200
 #: Under it a document's language counts as not identified.
 LEAST_SCORE = 0.4
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -156,8 +157,10 @@ def train(docs: DataFrame, most: int = MOST, bits: int = BITS) -> Model:
             found = [features(text, bits) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([at.astype("<u2").tobytes() for at, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary())], ["doc_id", "lang", "at", "counts"])
 
-    sample = bounded_sample(rows, "doc_id", most).select("text", F.col("doc_id").cast("string").alias("doc_id"), "lang").mapInArrow(featurise, "doc_id string, lang string, at binary, counts binary").collect()
-    sample.sort(key=lambda r: (r["doc_id"] or "", r["at"]))
+    chosen = sample_per_group(rows, "lang", ["doc_id", "text"], most, MOST_LANGUAGES).select("text", F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    # Repeated rows count once, so that a row that a third of all rows repeat doesn't fill the driver.
+    sample = chosen.mapInArrow(featurise, "doc_id string, lang string, at binary, counts binary").dropDuplicates().collect()
+    sample.sort(key=lambda r: (r["doc_id"] or "", r["at"], r["lang"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return Model([], idf, np.zeros((1 << bits, 0)), np.zeros(0), 1.0)

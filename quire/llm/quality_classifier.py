@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import held_out, table
 from quire.llm.sampling import bounded_sample
 
-BITS, RANK = 12, 8
+BITS, RANK = 16, 8
 #: Labelled rows of the training sample, at most.
 MOST = 8000
 #: Classes of bytes whose shares are features: upper case, lower case, digits, spaces, line ends, beyond ASCII, sentence marks, other marks.
@@ -80,17 +80,23 @@ class FactorisationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def rows(self, found: list[tuple[np.ndarray, np.ndarray, list[float]]], bits: int) -> np.ndarray:
-        x = np.zeros((len(found), (1 << bits) + N_STATS), np.float32)
-        for i, (at, values, _) in enumerate(found):
-            x[i, at] = values
-        if found:
-            x[:, 1 << bits :] = np.clip((np.array([s for _, _, s in found]) - self.mean) / self.scale, -4, 4)
-        return x
+    def rows(self, found: list[tuple[np.ndarray, np.ndarray, list[float]]], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, their values, where each row begins): hashed words, then the statistics, so no row is empty."""
+        stats = np.clip((np.array([s for _, _, s in found]) - self.mean) / self.scale, -4, 4).astype(np.float32)
+        last = np.arange(1 << bits, (1 << bits) + N_STATS)
+        at = np.concatenate([x for words, _, _ in found for x in (words, last)])
+        values = np.concatenate([x for (_, v, _), s in zip(found, stats, strict=True) for x in (v, s)]).astype(np.float32)
+        lengths = np.array([len(words) + N_STATS for words, _, _ in found])
+        return at, values, np.cumsum(lengths) - lengths
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        """The sum-of-squares identity: linear in the features and the rank."""
-        return self.w0 + x @ self.w + 0.5 * ((x @ self.v) ** 2 - (x * x) @ (self.v * self.v)).sum(axis=1)
+    def sums(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Per row and factor the sum of v x."""
+        return np.add.reduceat(self.v[at] * x[:, None], starts)
+
+    def logits(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The sum-of-squares identity: linear in a row's own features and the rank."""
+        squares = np.add.reduceat((self.v[at] * x[:, None]) ** 2, starts)
+        return self.w0 + np.add.reduceat(self.w[at] * x, starts) + 0.5 * (self.sums(at, x, starts) ** 2 - squares).sum(axis=1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -105,16 +111,22 @@ def fit(found: list[tuple[np.ndarray, np.ndarray, list[float]]], y: np.ndarray,
     gw, gv, g0 = np.full(width, 1e-6, np.float32), np.full((width, rank), 1e-6, np.float32), 1e-6
     for _ in range(epochs):
         for part in np.array_split(random.permutation(len(found)), max(len(found) // batch, 1)):
-            x = m.rows([found[i] for i in part], bits)
-            e = ((_sigmoid(m.logits(x)) - y[part]) / len(part)).astype(np.float32)
-            dw = x.T @ e + l2 * m.w
-            dv = x.T @ (e[:, None] * (x @ m.v)) - m.v * ((x * x).T @ e)[:, None] + l2 * m.v
+            at, x, starts = m.rows([found[i] for i in part], bits)
+            e = ((_sigmoid(m.logits(at, x, starts)) - y[part]) / len(part)).astype(np.float32)
+            each = np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(at))))
+            used, nth = np.unique(at, return_inverse=True)  # only these have a gradient
+            total = lambda values: np.bincount(nth, values, len(used)).astype(np.float32)
+            pull = e[each] * x
+            dw = total(pull) + l2 * m.w[used]
+            inner = m.sums(at, x, starts)[each]
+            squared = total(pull * x)
+            dv = np.stack([total(pull * inner[:, f]) for f in range(rank)], axis=1) - m.v[used] * squared[:, None] + l2 * m.v[used]
             d0 = float(e.sum())
-            gw += dw * dw
-            gv += dv * dv
+            gw[used] += dw * dw
+            gv[used] += dv * dv
             g0 += d0 * d0
-            m.w -= rate * dw / np.sqrt(gw)
-            m.v -= 0.5 * rate * dv / np.sqrt(gv)
+            m.w[used] -= rate * dw / np.sqrt(gw[used])
+            m.v[used] -= 0.5 * rate * dv / np.sqrt(gv[used])
             m.w0 -= rate * d0 / g0**0.5
     return m
 
@@ -134,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, bits: int = BITS
             )
 
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    sample = rows.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text", "n_chars").mapInArrow(featurise, "doc_id string, quality int, at binary, x binary, stats array<double>").collect()
+    sample = rows.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text", "n_chars").mapInArrow(featurise, "doc_id string, quality int, at binary, x binary, stats array<double>")
+    # Documents that share a chosen doc_id may be many: of all rows those of the smallest hashes, and as many as ids.
+    sample = sample.orderBy(F.xxhash64("doc_id", "quality", "at", "x")).limit(most).collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r["doc_id"] or "", r["quality"], r["at"]))
@@ -153,7 +167,7 @@ def score(docs: DataFrame, model: FactorisationMachine | None, bits: int = BITS)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [document_features(text or b"", n, words_of) for text, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                scores.append(_sigmoid(m.logits(m.rows(found, bits))).astype(np.float64) if m else np.full(len(found), 0.5))
+                scores.append(_sigmoid(m.logits(*m.rows(found, bits))).astype(np.float64) if m else np.full(len(found), 0.5))
             p = np.concatenate([*scores, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

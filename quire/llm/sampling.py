@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The ``most`` rows whose ``key`` has the smallest hashes (rows that tie with the last come along).
+    """The distinct ``rows`` (narrow ones) of the ``most`` values of ``key`` that have the smallest hashes."""
+    distinct = rows.dropDuplicates()
+    hashed = F.xxhash64(F.col(key), F.lit("sample"))
+    last = distinct.select(hashed.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return distinct.where(hashed <= last) if last is not None else distinct.limit(0)
+
 
-    Only hashes are sorted, ``most`` of them per task, so the rows themselves don't move.
+def sample_per_group(rows: DataFrame, group: str, by: list[str], most: int, most_groups: int) -> DataFrame:
+    """Of each of the ``most_groups`` largest groups as many rows as ``most`` allows each, those of the smallest hashes of ``by``.
+
+    Groups that have fewer leave their share unused.  Rows equal in ``by`` come along together.  Only hashes are sorted, those
+    of the rows that each task may give.
     """
-    hashed = F.xxhash64(F.col(key), F.lit("sample"))
-    last = rows.select(hashed.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return rows.where(hashed <= last) if last is not None else rows.limit(0)
+    groups = [r[0] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(most_groups).collect()]
+    if not groups:
+        return rows.limit(0)
+    hashed = F.xxhash64(*by, F.lit("sample"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("h"))
+    first = rows.where(F.col(group).isin(groups)).select(group, hashed.alias("h")).withColumn("nth", nth).where(F.col("nth") <= max(most // len(groups), 1))
+    last = dict(first.groupBy(group).agg(F.max("h")).collect())
+    bound = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    return rows.where(F.col(group).isin(groups)).where(hashed <= bound[F.col(group)])

@@ -8,7 +8,7 @@ import numpy as np
 from helpers import DATA
 
 from quire.llm import language_id, quality_classifier
-from quire.llm.sampling import bounded_sample
+from quire.llm.sampling import bounded_sample, sample_per_group
 
 SF = DATA.replace("sf0.001", "sf0.01")
 
@@ -81,7 +81,7 @@ def test_sum_of_squares_identity_is_all_pairs():
     x, w, v = random.normal(size=(3, 6)), random.normal(size=6), random.normal(size=(6, 4))
     m = quality_classifier.FactorisationMachine(np.zeros(1), np.ones(1), 0.3, w, v)
     pairs = [0.3 + r @ w + sum((v[i] @ v[j]) * r[i] * r[j] for i in range(6) for j in range(i)) for r in x]
-    assert np.allclose(m.logits(x), pairs)
+    assert np.allclose(m.logits(np.tile(np.arange(6), 3), x.ravel(), np.array([0, 6, 12])), pairs)
 
 
 def test_interactions_are_learned():
@@ -92,7 +92,7 @@ def test_interactions_are_learned():
         found.append((np.array([a, 2 + b]), np.full(2, 0.7), [0.0] * quality_classifier.N_STATS))
         y.append(a ^ b)
     m = quality_classifier.fit(found, np.array(y, np.float32), bits=4, epochs=40, rate=0.3)
-    assert ((m.logits(m.rows(found, 4)) > 0) == np.array(y)).mean() > 0.95
+    assert ((m.logits(*m.rows(found, 4)) > 0) == np.array(y)).mean() > 0.95
 
 
 def test_quality_of_messy_rows(spark, messy, no_docs):
@@ -111,3 +111,43 @@ def test_sample_is_bounded_and_stable(spark):
     one, other = ({r["id"] for r in bounded_sample(x, "id", 50).collect()} for x in (rows.repartition(3), rows.repartition(7)))
     assert one == other and len(one) == 50
     assert bounded_sample(rows.where("false"), "id", 50).count() == 0 and bounded_sample(rows, "id", 5000).count() == 1000
+
+
+def test_samples_are_bounded_under_ties_and_hold_rare_groups(spark):
+    same = spark.range(3000).selectExpr("cast(null as long) id", "'en' lang", "'same text' text")
+    rare = spark.range(3).selectExpr("id", "'eo' lang", "concat('t', id) text")
+    many = spark.range(5000).selectExpr("id + 10 id", "if(id % 2 = 0, 'en', 'fr') lang", "concat('x', id) text")
+    chosen = sample_per_group(same.unionByName(rare).unionByName(many), "lang", ["id", "text"], 300, 10)
+    counts = {r["lang"]: r["count"] for r in chosen.dropDuplicates().groupBy("lang").count().collect()}
+    assert counts["eo"] == 3 and counts["fr"] == 100 and counts["en"] <= 100
+    assert bounded_sample(same.select("id"), "id", 5).count() == 1
+
+
+def gram_feature(gram):
+    """The feature of a 1-, 2- or 3-gram, in plain integers."""
+    a, b, c = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+    p = [ord(x) for x in gram]
+    value = p[0] * a if len(p) == 1 else p[0] * b + p[1] * a * c
+    if len(p) == 3:
+        value = (p[0] * b + p[1] * a * c) * b + p[2] * a * a + c
+    value %= 1 << 32
+    return (value ^ value >> 15) * a % (1 << 32) >> 32 - language_id.BITS
+
+
+def test_prediction_is_the_plain_formula(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for row in docs.limit(20).collect():
+        text = f" {row['text'].lower()} "
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                at = gram_feature(text[i : i + n])
+                counts[at] = counts.get(at, 0) + 1
+        x = {at: np.log1p(c) * model.idf[at] for at, c in counts.items()}
+        length = sum(v * v for v in x.values()) ** 0.5
+        z = [sum(v / length * model.weights[at, k] for at, v in x.items()) + model.bias[k] for k in range(len(model.languages))]
+        p = np.exp(np.array(z) / model.temperature - max(z) / model.temperature)
+        p /= p.sum()
+        assert got[row["doc_id"]]["lang_pred"] == model.languages[int(p.argmax())] and abs(got[row["doc_id"]]["score"] - p.max()) < 1e-9
