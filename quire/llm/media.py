@@ -39,6 +39,8 @@ from quire.llm.common import fresh_path, table
 
 ROW = 192
 ARCHIVE_BYTES, SPLIT_BYTES, BATCH_BYTES, RETRIES = 64 << 20, 16 << 20, 8 << 20, 3
+#: Partitions that a read is planned in at most, however large the archives are.
+MOST_TASKS = 20_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 _SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media binary"
 _LOCAL_HEADER = struct.Struct("<IHHHHHIIIHH")  # a fixed layout of the ZIP format
@@ -139,12 +141,19 @@ def write_media(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     archive: str
     begin: int
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    ranges: list[ByteRange]
+
+
 class MediaArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder = options["path"].rstrip("/")
@@ -152,18 +161,24 @@ class MediaArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", RETRIES))
         self.keep_going = options.get("onerror", "fail") == "null"
 
-    def partitions(self) -> list[ByteRange]:
-        """Byte ranges of the committed archives; no archive is opened for it."""
+    def partitions(self) -> list[ByteRanges]:
+        """Byte ranges of the committed archives, in ``MOST_TASKS`` partitions at most; no archive is opened for it."""
         import pyarrow.dataset as ds
 
         files, folder = _open(f"{self.folder}/manifest")
         names = [f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
         listed = ds.dataset(names, filesystem=files, format="parquet").to_table().to_pylist() if names else []
-        return [ByteRange(f"{self.folder}/archives/{x['name']}", at, min(at + self.split, x["bytes"])) for x in sorted(listed, key=lambda x: x["name"]) for at in range(0, x["bytes"], self.split)] or [ByteRange("", 0, 0)]
+        n = sum(-(-x["bytes"] // self.split) for x in listed)
+        split = self.split * max(-(-n // MOST_TASKS), 1)  # past an archive's end where that is smaller
+        ranges = [ByteRange(f"{self.folder}/archives/{x['name']}", at, min(at + split, x["bytes"])) for x in sorted(listed, key=lambda x: x["name"]) for at in range(0, x["bytes"], split)]
+        each = max(-(-len(ranges) // MOST_TASKS), 1)
+        return [ByteRanges(ranges[at : at + each]) for at in range(0, len(ranges), each)] or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         files, path = _open(partition.archive)
         batch, held = [], 0
         for offset, size, name in self._members(files, path, partition):

@@ -53,7 +53,15 @@ def test_ranges_cover_every_member_once(spark, folder):
         assert not rows or sorted(r["doc_id"] for r in rows) == list(range(200))
     reader = media.MediaArchiveReader({"path": folder, "splitbytes": "700"})
     parts = reader.partitions()
-    assert len(parts) > 20 and all(0 < p.end - p.begin <= 700 for p in parts)
+    assert len(parts) > 20 and all(len(p.ranges) == 1 and 0 < p.ranges[0].end - p.ranges[0].begin <= 700 for p in parts)
+
+
+def test_tasks_are_bounded_and_still_read_everything(folder, monkeypatch):
+    monkeypatch.setattr(media, "MOST_TASKS", 3)
+    reader = media.MediaArchiveReader({"path": folder, "splitbytes": "50"})
+    parts = reader.partitions()
+    assert len(parts) <= 3
+    assert sorted(r["doc_id"] for p in parts for b in reader.read(p) for r in b.to_pylist()) == list(range(200))
 
 
 def test_only_committed_archives_are_read(spark, folder, tmp_path):
