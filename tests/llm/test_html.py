@@ -20,7 +20,11 @@ from quire.llm import html_extraction as h
         ('<div class="ad">a</div><div class="cookie-notice">c</div><div id="comments"><p>r</p></div><div role="navigation">n</div><p>t', "t"),
         ('<div class="with-sidebar"><article><header><h1>T</h1></header><p>x</p><section class="comments">c</section><footer>by</footer></article></div><p>out', "T x"),
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a b c"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<main><p>m</main><article><p>a</article>", "m a"), ("<article></article><p>fallback", "fallback"),
-        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("</div></p>x", "x"), ("<p a='>'>quoted</p>", "quoted"), ('<p title="a>b" x=y>q', "q"), ("<ARTICLE><P>Case</P></ARTICLE>", "Case"), ("<title>t</title><textarea>u</textarea>v", "v"), ("<div role=main><p>in</div><p>out", "in"), ("<p hidden>no<p style='display: none'>no<p class=hidden-gem>yes", "yes"), ("<div class=cookiebar>c</div><div id=comments-list>d</div><p>t", "t"), ("<a/b>x", "x"),
+        ("<div>" * 30_000 + "deep" + "</div>" * 30_000, "deep"),
+        ('<article><p>a</p><section id="discussion"><p>b</p></section><h2 id="related-work">R</h2><h2 id="search">S</h2><div class="commentary">c</div><div id="cookie-recipe">d</div><a class="share" href="x">e</a></article>', "a b R S c d e"),
+        ('<article><p>a</p><div class="ad-box">x</div><div class="adverts">x</div><div id="comments">x</div><ul class="comment-list"><li>x</ul><div class="cookie-notice">x</div></article>', "a"),
+        ('<article><p>a</p></article><div id="comments"><ol class="comment-list"><li><article class="comment-body">x</article><li><article>y</article></ol></div><div class="related"><article>z</article></div>', "a"),
+        ('<div class="header-wrap"><div class="search"><article><p>a</p></article></div></div><article><p>b</article>', "a b"), ("</div></p>x", "x"), ("<p a='>'>quoted</p>", "quoted"), ('<p title="a>b" x=y>q', "q"), ("<ARTICLE><P>Case</P></ARTICLE>", "Case"), ("<title>t</title><textarea>u</textarea>v", "v"), ("<div role=main><p>in</div><p>out", "in"), ("<p hidden>no<p style='display: none'>no<p class=hidden-gem>yes", "yes"), ("<div class=cookiebar>c</div><div id=comments-list>d</div><p>t", "t"), ("<a/b>x", "x"),
     ],
 )
 def test_main_text(page, want):
@@ -52,6 +56,37 @@ def test_repeated_branches_of_a_site_go(spark):
         assert r["text"].count("w") >= 21
 
 
+def test_the_tree_decides_inside_articles(spark):
+    r = random.Random(2)
+    words = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    page = lambda: f'<article><p>{words(20)}</p><div class="box">Read this next</div><div class="box2">{words(5)}</div><section id="discussion">{words(4)}</section><div class="notice">Terms apply, {r.choice(["a", "b"])}</div><p>{words(9)}</p></article>'
+    rows = [(i, f"http://big.example/{i}", page()) for i in range(10)] + [(100 + i, f"http://small.example/{i}", page()) for i in range(3)]
+    pages = {i: html_ for i, _, html_ in rows}
+    got = {x["page_id"]: x["text"] for x in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        assert (text != h.main_text(pages[i])) == (i < 100)
+        assert ("Read this next" in text) == ("Terms apply" in text) == (i >= 100)
+        assert text.count("w") == 38
+
+
+def test_noise_of_unmarked_sites_goes_and_articles_stay(spark):
+    r = random.Random(9)
+    words = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    menu, promo = [f"Menu{i}" for i in range(30)], ["Join ten thousand readers", "Get our app", "Rated five stars"]
+    rows, own = [], {}
+    for i in range(60):
+        text = words(80)
+        own[i] = set(text)
+        some = " ".join(f"<span>{m}</span>" for m in menu)
+        rows.append((i, f"http://h{i % 3}.example/{i}", f'<div class="z1"><div class="z2">{some}</div><div class="z3"><p>{" ".join(text[:50])}</p><p>{" ".join(text[50:])}</p></div><div class="z4"><p>{r.choice(promo)}</p></div><div class="z5">Imprint and terms</div></div>'))
+    kept = noise = 0
+    for x in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        found = x["text"].split()
+        kept += len(own[x["page_id"]] & set(found))
+        noise += sum(w not in own[x["page_id"]] for w in found)
+    assert kept == 60 * 80 and noise < 0.1 * 60 * (30 + 4 + 3)
+
+
 def test_importance_matches_plain_entropy(spark):
     pages = site(6)
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", h.host_of("url")).select("host", "html")
