@@ -17,15 +17,21 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 def sample_per_group(rows: DataFrame, group: str, by: list[str], most: int, most_groups: int) -> DataFrame:
     """Of each of the ``most_groups`` largest groups as many rows as ``most`` allows each, those of the smallest hashes of ``by``.
 
-    Groups that have fewer leave their share unused.  Rows equal in ``by`` come along together.  Only hashes are sorted, those
-    of the rows that each task may give.
+    Groups that have fewer leave their share unused.  Rows equal in ``by`` come along together.  Hashes are spread evenly, so a
+    group's size tells below which its share lies, with some to spare; only those few hashes are sorted.
     """
-    groups = [r[0] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(most_groups).collect()]
+    hashed = F.xxhash64(*by, F.lit("sample"))
+    groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).orderBy(F.desc("n"), group).limit(most_groups).collect()
     if not groups:
         return rows.limit(0)
-    hashed = F.xxhash64(*by, F.lit("sample"))
+    each = max(most // len(groups), 1)
+
+    def below(bounds: dict[object, int]) -> DataFrame:
+        table = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
+        return rows.where(F.col(group).isin(list(bounds))).where(hashed <= table[F.col(group)])
+
+    spare = each + 6 * each**0.5 + 10
+    near = below({g: max(least, -(2**63) + int(min(spare / n, 1) * (2**64 - 1))) for g, n, least in groups})
     nth = F.row_number().over(Window.partitionBy(group).orderBy("h"))
-    first = rows.where(F.col(group).isin(groups)).select(group, hashed.alias("h")).withColumn("nth", nth).where(F.col("nth") <= max(most // len(groups), 1))
-    last = dict(first.groupBy(group).agg(F.max("h")).collect())
-    bound = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
-    return rows.where(F.col(group).isin(groups)).where(hashed <= bound[F.col(group)])
+    first = near.select(group, hashed.alias("h")).withColumn("nth", nth).where(F.col("nth") <= each)
+    return below(dict(first.groupBy(group).agg(F.max("h")).collect()))
