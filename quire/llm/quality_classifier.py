@@ -53,9 +53,8 @@ def document_features(text: bytes, n_chars: int | None, words_of: HashedWords) -
     """(hashed words, their values of a row of length one, structure statistics and metadata)."""
     words = Counter(text.split())
     n = max(words.total(), 1)
-    counts = np.bincount(np.fromiter(map(words_of.__getitem__, words), np.int64, len(words)), np.fromiter(words.values(), np.float64, len(words)), words_of.mask + 1)
-    at = np.flatnonzero(counts)
-    values = np.log1p(counts[at])
+    at, nth = np.unique(np.fromiter(map(words_of.__getitem__, words), np.int64, len(words)), return_inverse=True)
+    values = np.log1p(np.bincount(nth, np.fromiter(words.values(), np.float64, len(words)), len(at)))
     values /= max(float(np.sqrt(values @ values)), 1e-12)
     per_byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     kinds = np.bincount(_CLASSES, per_byte, 8) / max(len(text), 1)
