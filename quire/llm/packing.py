@@ -98,8 +98,8 @@ def tokenised_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 20
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encode(text or ""), end])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a text at a time leaves Arrow
+                ids = np.concatenate([encode(text.as_py() or ""), end])
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     for column, value in zip(out, (doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()), int(seen[length])), strict=True):
                         column.append(value)
