@@ -150,8 +150,8 @@ def annotated_mention_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label twice under one slug: the first title and the first gloss stay."""
     rows = views.v_annotations(spark, sf_dir).where("size(concepts) > 0")
-    twice = F.flatten(F.transform("concepts", lambda c: F.array(F.struct(c["slug"].alias("slug"), c["title"].alias("title"), F.lit(" ").alias("gloss")), F.struct(slugify(c["title"]).alias("slug"), F.lit("other").alias("title"), F.lit("a \t gloss ").alias("gloss")))))
-    return concepts.resolve_annotations(rows.withColumn("concepts", twice)).select("section_id", F.explode("concepts").alias("c")).select("section_id", "c.slug", "c.title", "c.gloss")
+    twice = F.flatten(F.transform("concepts", lambda c: F.array(F.struct(c["slug"].alias("slug"), c["title"].alias("title"), F.lit(" ").alias("gloss")), F.struct(slugify(F.coalesce(c["title"], F.lit(""))).alias("slug"), F.lit("other").alias("title"), F.lit("a \t gloss ").alias("gloss")))))
+    return concepts.resolve_annotations(rows.withColumn("concepts", twice), strict=False).select("section_id", F.explode("concepts").alias("c")).select("section_id", "c.slug", "c.title", "c.gloss")
 
 
 def stale_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["annotated_mention_count"])
+@pytest.mark.parametrize("name", ["annotated_mention_count", "annotation_dedup"])
 def test_untitled_concepts_match_sql(spark, odd, name):
     connection = duckdb.connect()
     for table in ("documents", "labels"):
