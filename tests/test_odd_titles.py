@@ -32,7 +32,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["annotated_mention_count", "annotation_dedup", "concept_mentions_merged", "concept_mentions_of", "concept_nodes", "concepts_bulk", "index_concepts", "section_concepts"])
+@pytest.mark.parametrize("name", ["annotated_mention_count", "annotation_dedup", "concept_mentions_merged", "concept_mentions_of", "concept_nodes", "concepts_bulk", "index_concepts", "section_concepts", "render_concept_page"])
 def test_untitled_concepts_match_sql(spark, odd, name):
     connection = duckdb.connect()
     for table in ("documents", "labels"):
