@@ -14,7 +14,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, of the smallest doc_id, of each group of near duplicates: links are five-word Jaccard of 0.8 or more."""
+    """Keeps one document, of the smallest doc_id, of each group of near duplicates: links are five-word Jaccard of 0.8 or more.
+
+    Candidates are what SimHash links within its Hamming budget, and by MinHash pairs that are alike but further apart; all are verified.
+    """
     return minhash.one_of_each_group(docs)
 
 

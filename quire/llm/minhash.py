@@ -1,4 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash candidates, each verified on the whole sets.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and MinHash candidates, each verified on the whole sets.
+
+Each distinct set has a SimHash fingerprint.  The first sets of fingerprints that the trie join of ``simhash`` links within
+its Hamming budget are candidates, and so is each other set of a fingerprint with its first.  Of the pairs of similarity 0.8
+most differ in more bits than a trie can be walked with; MinHash finds those, and all that a star leaves out.
 
 Documents are reduced to distinct sets of shingle hashes.  Sets that agree on all ``ROWS`` minima of one of ``BANDS``
 bands share a bucket: a pair of similarity 0.8 shares none with odds of (1 - 0.8^4)^24, 3 in a million, and more
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, partition_count
-from quire.llm.simhash import components, first_of_components, keep_first
+from quire.llm.simhash import BUDGET, components, first_of_components, keep_first, majority, near_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
@@ -95,28 +99,42 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, version, fp, size, bands, sketch): ``version`` tells apart rows that share a doc_id, ``fp`` names the set of ``size`` shingles."""
+    """(doc_id, version, fp, simhash, size, bands, sketch): ``version`` tells apart rows that share a doc_id, ``fp`` names the set of ``size`` shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, bands, sketches = [], [], [], []
+            ids, simhashes, sizes, bands, sketches = [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), shingle)
                 least = minima(found) if len(found) else None
                 ids.append(_set_id(found))
+                simhashes.append(majority(found))
                 sizes.append(len(found))
                 bands.append([] if least is None else band_hashes(least))
                 sketches.append(b"" if least is None else sketch(least) + short(bands[-1]))
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "version", "fp", "size", "bands", "sketch"])
+            columns = [pa.array(ids, pa.int64()), pa.array(np.array(simhashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "version", "fp", "simhash", "size", "bands", "sketch"])
 
-    return _rows(docs).mapInArrow(each, "doc_id long, version long, fp long, size int, bands array<long>, sketch binary")
+    return _rows(docs).mapInArrow(each, "doc_id long, version long, fp long, simhash long, size int, bands array<long>, sketch binary")
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
-    """(fp, first, copies, size, bands, sketch): the distinct sets, the first row and the number of rows of each."""
+    """(fp, first, copies, simhash, size, bands, sketch): the distinct sets, the first row and the number of rows of each."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")
-    return signed.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch")))
+    return signed.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("simhash", "size", "bands", "sketch")))
+
+
+def simhash_pairs(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, to): pairs of sets whose SimHash fingerprints are linked, each to the first set of its own or the linked one.
+
+    Every set that isn't empty and differs from another one in ``budget`` bits or fewer is in a pair; they keep all components.
+    """
+    own = nodes.where("size > 0").select("fp", "simhash")
+    first = materialize(own.groupBy("simhash").agg(F.min("fp").alias("to"), F.count(F.lit(1)).alias("n")), "simhashes")
+    same = own.join(first.where("n > 1"), "simhash").where("fp <> to").select("fp", "to")
+    links = near_links(first.select(F.col("simhash").alias("fp")), budget).distinct().select(F.col("fp").alias("_fp"), F.col("to").alias("_to"))
+    near = links.join(first.select(F.col("simhash").alias("_fp"), F.col("to").alias("a")), "_fp").join(first.select(F.col("simhash").alias("_to"), F.col("to").alias("b")), "_to")
+    return same.unionByName(near.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -282,14 +300,16 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(fp, label) of all linked sets: label is the smallest set its links reach.  ``nodes`` as of ``distinct_sets``."""
+    """(fp, label) of all linked sets: label is the smallest set its links reach.  ``nodes`` as of ``distinct_sets``, written."""
     bands = nodes.select("fp", "size", F.posexplode("bands").alias("nth", "band"))
     shared = bands.groupBy("nth", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     shared = shared.select("nth", "band", F.greatest(F.ceil(F.col("n") / MOST), F.ceil(F.col("shingles") / MOST_SHINGLES)).cast("int").alias("cut"))
     members = bands.drop("size").join(shared, ["nth", "band"])
     members = materialize(members.join(nodes.select("fp", "size", "sketch"), "fp"), "members")
     parts = partition_count(members, PART_BYTES)
-    pairs = materialize(star_pairs(members.withColumn("label", F.col("fp")), similarity, parts), "pairs")
+    near = materialize(simhash_pairs(nodes), "near")
+    near = near.unionByName(near.select("fp", F.col("fp").alias("to"))).unionByName(near.select(F.col("to").alias("fp"), "to"))
+    pairs = materialize(star_pairs(members.withColumn("label", F.col("fp")), similarity, parts).unionByName(near).distinct(), "pairs")
     sets = materialize(sets_of(docs, nodes.join(pairs.where("fp = to").select("fp"), "fp", "left_semi"), shingle), "sets")
     links = materialize(verified(pairs.where("fp <> to"), sets, similarity), "links")
     labels = materialize(components(links), "labels")

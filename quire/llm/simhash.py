@@ -49,8 +49,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     last = max(len(found) - shingle, 0)
     begins = [0, *(ends[:last] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(begins, ends[len(found) - last - 1 :].tolist(), strict=True)]
-    ones = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[len(found) - last - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 

@@ -1,11 +1,17 @@
 from __future__ import annotations
 
 import random
+import sys
+from pathlib import Path
 
 from helpers import DATA
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_simhash import plain_components as plain_fingerprint_components
 
 import corpus_pipeline
-from quire.llm import minhash
+from quire.llm import minhash, simhash
 
 
 def plain_sets(texts):
@@ -80,3 +86,24 @@ def test_messy_rows(messy, no_docs):
     assert kept.columns == messy.columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None) == sorted({(r["doc_id"], r["text"]) for r in messy.collect() if r["doc_id"] in (1, 2, 5, 7, 8, -9)}, key=lambda x: (x[0], x[1] or ""))
     assert minhash.one_of_each_group(no_docs).count() == 0
+
+
+def test_simhash_links_are_candidates_without_minhash(spark, monkeypatch):
+    r = random.Random(11)
+    texts = []
+    for _ in range(8):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base), *(" ".join([*base[:at], f"e{i}", *base[at + 1 :]]) for i, at in enumerate(r.sample(range(400), 6)))]
+    fps = [simhash.majority(minhash.shingles(t.encode())) for t in texts]
+    of = plain_fingerprint_components(fps)
+    assert sum(c != i for i, c in enumerate(of)) > 10  # edits within three bits
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = minhash.distinct_sets(minhash.signatures(docs))
+    ids = {r["fp"]: r["first"]["doc_id"] for r in nodes.collect()}
+    linked = spark.createDataFrame([(ids[r["fp"]], ids[r["to"]]) for r in minhash.simhash_pairs(minhash.materialize(nodes, "nodes")).collect()], "fp long, to long")
+    assert dict(simhash.components(linked).collect()) == {i: c for i, c in enumerate(of) if of.count(c) > 1}
+    none = lambda rows, *_: rows.select("fp", F.col("fp").alias("to")).where("false")
+    monkeypatch.setattr(minhash, "star_pairs", none)
+    monkeypatch.setattr(minhash, "links_within", none)
+    kept = {x["doc_id"] for x in minhash.one_of_each_group(docs).collect()}
+    assert set(range(0, 56, 7)) <= kept and len(kept) < len(texts) - 10
