@@ -77,13 +77,13 @@ def concept_pages(mentions: DataFrame, titles: DataFrame) -> DataFrame:
     """(slug, content): a page per concept with its detailed mentions by book (``titles``: doc_id, book_title) in reading order.
 
     A concept that is mentioned everywhere makes one page as long as its mentions, as the page lists them all; its
-    lines and counts are made per book first.
+    lines and counts are made per book first.  The mentions are marked ones, so one with several lines counts once.
     """
     suffix = F.concat(F.when(F.col("gloss") != "", F.concat(F.lit(" — "), "gloss")).otherwise(""), F.when(F.col("source") == "agent", " (agent-verified)").otherwise(""))
     line = F.concat(
         F.lit("- ["), "section_title", F.lit("](../books/"), "doc_id", F.lit("/sections/"), "section_id", F.lit(".md)"), suffix, F.when(F.col("summary") != "", F.concat(F.lit("\n  > "), "summary")).otherwise("")
     )
-    per_book = mentions.groupBy("slug", "doc_id").agg(_lines(["ord", "section_id"], line).alias("lines"), F.min("title").alias("title"), F.count(F.lit(1)).alias("n")).join(titles, "doc_id", "left")
+    per_book = mentions.groupBy("slug", "doc_id").agg(_lines(["ord", "section_id"], line).alias("lines"), F.min("title").alias("title"), F.count_if("first").alias("n")).join(titles, "doc_id", "left")
     part = F.concat(F.lit("\n## "), F.coalesce("book_title", "doc_id"), F.lit("\n\n"), "lines")
     whole = per_book.groupBy("slug").agg(_lines(["doc_id"], part).alias("body"), F.min("title").alias("title"), F.count(F.lit(1)).alias("doc_count"), F.sum("n").alias("mention_count"))
     plural = lambda n, word: F.concat(F.col(n).cast("string"), F.when(F.col(n) == 1, f" {word}").otherwise(f" {word}s"))

@@ -20,8 +20,8 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.merged_mentions(_sections(spark, sf_dir), views.v_annotations(spark, sf_dir))
 
 
-def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concepts.detailed_mentions(_merged(spark, sf_dir), _sections(spark, sf_dir), views.v_annotations(spark, sf_dir))
+def _detailed(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
+    return concepts.detailed_mentions(_merged(spark, sf_dir), _sections(spark, sf_dir), views.v_annotations(spark, sf_dir), marked)
 
 
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def render_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_concept_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = list_documents(spark, sf_dir).select("doc_id", F.col("title").alias("book_title"))
-    return render.concept_pages(_detailed(spark, sf_dir), titles)
+    return render.concept_pages(_detailed(spark, sf_dir, marked=True), titles)
 
 
 def bridge_changed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def compile_books(sections: DataFrame, folder: str, linked: bool = False) -> dic
 
 def compile_concepts(mentions: DataFrame, sections: DataFrame, annotations: DataFrame, titles: DataFrame, folder: str) -> dict[str, int]:
     """A page per concept over all books, rewritten whole."""
-    detailed = concepts.detailed_mentions(mentions, sections, annotations)
+    detailed = concepts.detailed_mentions(mentions, sections, annotations, marked=True)
     pages = render.concept_pages(detailed, titles)
     return write_pages(pages.select(F.concat("slug", F.lit(".md")).alias("name"), "content"), folder, replace=True)
 

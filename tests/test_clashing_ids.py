@@ -34,7 +34,7 @@ def clashing(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["concept_mentions_merged", "concept_mentions_of", "concept_nodes", "concepts_bulk", "section_concepts", "annotated_mention_count", "index_concepts", "concepts_top50"])
+@pytest.mark.parametrize("name", ["concept_mentions_merged", "concept_mentions_of", "concept_nodes", "concepts_bulk", "section_concepts", "render_concept_page", "annotated_mention_count", "index_concepts", "concepts_top50"])
 def test_clashing_ids_match_sql(spark, clashing, name):
     connection = duckdb.connect()
     for table in ("documents", "labels"):
